@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality",)
+MODULES = ("pieces", "quality")
 
 
 def _gather(name: str) -> dict:
