@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("pieces", "quality")
+MODULES = ("pieces", "quality", "packing")
 
 
 def _gather(name: str) -> dict:
