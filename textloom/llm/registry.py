@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("pieces", "quality", "packing")
+MODULES = ("pieces", "fingerprint", "quality", "packing", "language")
 
 
 def _gather(name: str) -> dict:
