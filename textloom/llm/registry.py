@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("pieces", "fingerprint", "quality", "packing", "language")
+MODULES = ("pieces", "fingerprint", "quality", "packing", "language", "substrings")
 
 
 def _gather(name: str) -> dict:
