@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("pieces", "fingerprint", "quality", "packing", "language", "jaccard", "substrings")
+MODULES = ("warc", "pieces", "fingerprint", "quality", "packing", "language", "jaccard", "substrings")
 
 
 def _gather(name: str) -> dict:
