@@ -236,7 +236,9 @@ def find_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     least = distinct.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key", "first", "same").mapInArrow(match_segments(window), "key long, same long, least array<long>")
     least = ws.write(least, "least")
     lost = segments.select("key", "same", "place", "th", "at").join(least, ["key", "same"]).where(F.array_min("least") < F.col("place"))
-    return ws.write(lost.groupBy("place", "th").agg(F.collect_set(F.struct("at", "least")).alias("found")), "found")
+    found = ws.write(lost.groupBy("place", "th").agg(F.collect_set(F.struct("at", "least")).alias("found")), "found")
+    ws.drop("segments", "least")
+    return found
 
 
 def removed_words(n: int, place: int, found: list[dict] | None, window: int) -> np.ndarray:
