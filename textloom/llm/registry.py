@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("warc", "pieces", "fingerprint", "quality", "packing", "language", "jaccard", "substrings")
+MODULES = ("warc", "rollup", "pieces", "fingerprint", "quality", "packing", "language", "jaccard", "licenses", "substrings")
 
 
 def _gather(name: str) -> dict:
