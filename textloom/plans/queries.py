@@ -33,7 +33,10 @@ def query(sql: str | None = None):
 
 
 def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The documents; a small file of few splits is dealt out, as its kernels would else run in one task."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if 2 * docs.rdd.getNumPartitions() < cores else docs
 
 
 # rulers and terms
@@ -162,7 +165,7 @@ def merge_justified(spark, sf_dir):
 def _rebuilt(name: str, **options) -> Callable:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = docs_of(spark, sf_dir)
-        chunks = chunkers.chunk(docs.repartition(spark.sparkContext.defaultParallelism) if docs.rdd.getNumPartitions() == 1 else docs, name, keep=["doc_id"], **options)
+        chunks = chunkers.chunk(docs, name, keep=["doc_id"], **options)
         whole = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "text", "start", "end"))).alias("c"))
         tiles = F.aggregate("c", F.struct(F.lit(0).alias("at"), F.lit(True).alias("ok")), lambda s, x: F.struct(x["end"].alias("at"), (s["ok"] & (x["start"] == s["at"]) & (F.length(x["text"]) == x["end"] - x["start"])).alias("ok")))
         return whole.select("doc_id", F.md5(F.array_join(F.transform("c", lambda x: x["text"]), "").cast("binary")).alias("text_md5"), tiles["ok"].alias("tiles"))
@@ -247,7 +250,7 @@ w AS (SELECT term, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf, avg FROM (SELECT
 sp AS (SELECT doc_id, chunk_index, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avg))) AS s FROM ct JOIN w USING (term) JOIN dl USING (doc_id, chunk_index) WHERE @filter@ GROUP BY ALL),
 f AS (SELECT d.*, coalesce(s, 0) / (SELECT max(s) FROM sp) AS sparse FROM dense d LEFT JOIN sp USING (doc_id, chunk_index) WHERE @only@),
 r AS (SELECT *, @score@ AS raw FROM f)
-SELECT row_number() OVER (ORDER BY raw DESC, chunk_start, text, source)::BIGINT AS rank, text, chunk_start, source, round(raw, 6) AS score FROM r ORDER BY raw DESC, chunk_start, text, source LIMIT 10"""
+SELECT row_number() OVER (ORDER BY round(raw, 9) DESC, chunk_start, text, source)::BIGINT AS rank, text, chunk_start, source, round(raw, 6) AS score FROM r ORDER BY round(raw, 9) DESC, chunk_start, text, source LIMIT 10"""
 
 
 def _ranked(**parts: str) -> str:
