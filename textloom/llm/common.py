@@ -52,7 +52,10 @@ class Workspace:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The table; one that lies in fewer splits than half the cores (a small file) is dealt out, as its kernels would else run in one task."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
