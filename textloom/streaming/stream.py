@@ -29,5 +29,5 @@ def index_stream(docs: DataFrame, index: ParquetIndex, checkpoint: str, *, name:
 
 def event_windows(spark: SparkSession, path: str, schema, *, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts of events by type and window over a Parquet stream; rows later than `late` are dropped by the watermark."""
-    events = spark.readStream.schema(schema).parquet(path)
+    events = spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
     return events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count(F.lit(1)).alias("n"))
