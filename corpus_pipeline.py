@@ -24,7 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or in none of the learned languages, go."""
     filters = language.learn(docs)
-    return language.predict(docs, filters).where((F.col("lang_pred") != "und") & (F.col("coverage") >= MIN_COVERAGE)).select(docs.columns)
+    judged = language.predict(docs, filters, names=("__lang", "__score", "__cover"))
+    return judged.where((F.col("__lang") != "und") & (F.col("__cover") >= MIN_COVERAGE)).select(docs.columns)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -147,8 +147,10 @@ def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id
     return Filters.build(languages, found["gram"].to_numpy(np.int64).view(np.uint64), found["lang"].to_numpy(), slots)
 
 
-def predict(docs: DataFrame, filters: Filters | None, *, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, score and coverage."""
+def predict(docs: DataFrame, filters: Filters | None, *, text_col: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "coverage")) -> DataFrame:
+    """docs with three columns more: the language, its score and its coverage. Other names than theirs must be given if docs has one of them."""
+    if set(names) & set(docs.columns):
+        raise ValueError(f"docs already has one of the columns {names}")
     sent = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.slots) if filters else None)
     made: dict[str, Filters] = {}
 
@@ -160,11 +162,11 @@ def predict(docs: DataFrame, filters: Filters | None, *, text_col: str = "text")
                 lang, score, cover = made["f"].judge([x or "" for x in b.column(text_col).to_pylist()])
             else:
                 lang, score, cover = ["und"] * b.num_rows, np.zeros(b.num_rows), np.zeros(b.num_rows)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(cover, pa.float64())], names=[*b.schema.names, "lang_pred", "score", "coverage"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(cover, pa.float64())], names=[*b.schema.names, *names])
 
     from pyspark.sql.types import DoubleType, StringType, StructType
 
-    schema = StructType([*docs.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType()).add("coverage", DoubleType())
+    schema = StructType([*docs.schema.fields]).add(names[0], StringType()).add(names[1], DoubleType()).add(names[2], DoubleType())
     return docs.mapInArrow(kernel, schema)
 
 

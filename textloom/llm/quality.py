@@ -135,10 +135,10 @@ def host_of(host_col: str):
 
 
 def cut_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The texts without the lines whose keys are in drop."""
+    """The texts without the lines whose keys are in __drop."""
     for b in common.slices(batches):
         texts = []
-        for text, drop in zip(common.binaries(b.column("text")), b.column("drop").to_pylist(), strict=True):
+        for text, drop in zip(common.binaries(b.column("text")), b.column("__drop").to_pylist(), strict=True):
             if drop:
                 gone = set(drop)
                 text = b"\n".join(x for x in text.split(b"\n") if not x.split() or line_key(x) not in gone)
@@ -148,17 +148,17 @@ def cut_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = b.set_column(i, b.schema.field(i), pa.array(texts, b.schema.field(i).type))
         if n >= 0:
             b = b.set_column(n, b.schema.field(n), pa.array([len(x) for x in texts], b.schema.field(n).type))
-        yield b.select([x for x in b.schema.names if x != "drop"])
+        yield b.select([x for x in b.schema.names if x != "__drop"])
 
 
 def clean(docs: DataFrame, **rules) -> DataFrame:
     """The documents that the rules keep, without their frequent lines; the columns of docs (doc_id, text, source and, if there, n_chars are used)."""
-    verdict = assess(docs, **rules).where("kept").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("host").alias("__host"), "drop").dropDuplicates(["__id", "__th", "__host"])
+    verdict = assess(docs, **rules).where("kept").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("host").alias("__host"), F.col("drop").alias("__drop")).dropDuplicates(["__id", "__th", "__host"])
     # ids may be null: the hash of the text and the host stand beside them
     mine = docs.withColumns({"__i": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "__t": F.xxhash64(F.coalesce("text", F.lit("")))})
     verdict = verdict.withColumn("__i2", F.coalesce("__id", F.lit(-1)))
     kept = mine.join(verdict, (F.col("__i") == F.col("__i2")) & (F.col("__t") == F.col("__th")) & (host_of("source") == F.col("__host")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")))
-    return kept.select(*docs.columns, "drop").mapInArrow(cut_lines, docs.schema)
+    return kept.select(*docs.columns, "__drop").mapInArrow(cut_lines, docs.schema)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,16 +171,20 @@ ORACLE_SQL = {
     "op5_quality_rules": r"""
 WITH d AS (
   SELECT doc_id, coalesce(source, chr(0)) AS host, coalesce(text, '') AS text,
-         regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS ls
+         regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS ls
   FROM documents),
 win AS (
   SELECT doc_id, unnest(range(1, len(w) - 6)) AS i, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i+7], ' '))) AS g FROM d WHERE len(w) >= 8),
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY doc_id),
 lines AS (
-  SELECT doc_id, host, text, len(regexp_extract_all(l, '[^ 	-]+')) AS nw,
-         array_to_string(regexp_extract_all(regexp_replace(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '0', 'g'), '[^ 	-]+'), ' ') AS norm
+  SELECT doc_id, host, text, len(regexp_extract_all(l, '[^ 	-
+]+')) AS nw,
+         array_to_string(regexp_extract_all(regexp_replace(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '0', 'g'), '[^ 	-
+]+'), ' ') AS norm
   FROM (SELECT doc_id, host, text, unnest(ls) AS l FROM d)),
 counted AS (SELECT * FROM lines WHERE nw <= 32),
 hosts AS (SELECT host, count(DISTINCT text) AS docs FROM d GROUP BY host),
