@@ -12,6 +12,10 @@ computed against the others still undecided; for a set that differs from it in d
 tokens the answers follow within d of those, so that most need no computing, and
 sets that are already in one component are not compared.
 
+Before any set is moved, members of a list are held against each other by parity
+bitmaps of about a bit for each token: the bits in which two differ are at most the
+tokens in which the sets differ, so what this drops can't be linked.
+
 Links leave a task as a spanning forest, so a group of copies makes as many rows as
 it has members. Components are joined by stars over tables; nothing but the token
 counts (a fixed size) and row counts comes to the driver.
@@ -106,6 +110,45 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
+def parity(tokens: np.ndarray) -> bytes:
+    """A bit for each residue of the tokens, flipped by each token that has it; a power of two, at least 64 and the set's size."""
+    width = max(64, 1 << (len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(bits: bytes, size: int) -> np.ndarray:
+    """The parities of fewer residues; size in bytes, a power of two."""
+    out = np.frombuffer(bits, np.uint8)
+    while len(out) > size:
+        out = out[: len(out) // 2] ^ out[len(out) // 2 :]
+    return out
+
+
+def possible_groups(keys: list[int], sizes: list[int], sides: list[int], bits: list[bytes], num: int, den: int) -> list[list[int]]:
+    """Positions of members that may be linked, by component of the pairs that sizes and bitmaps leave."""
+    n = np.array(sizes, np.int64)
+    side = np.array(sides)
+    width = min(map(len, bits))
+    table = np.stack([folded(b, width) for b in bits])
+    label = np.arange(len(keys))
+    across = side.min() != side.max()
+    for i in range(len(keys) - 1):
+        rest = slice(i + 1, None)
+        differ = np.bitwise_count(table[rest] ^ table[i]).sum(axis=1, dtype=np.int64)
+        both = n[rest] + n[i]
+        ok = (both - differ) // 2 >= -(-num * both // (num + den))
+        ok &= (den * n[rest] >= num * n[i]) & (den * n[i] >= num * n[rest])
+        if across:
+            ok &= side[rest] != side[i]
+        for j in (np.flatnonzero(ok) + i + 1).tolist():
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+    order = np.argsort(label, kind="stable")
+    edges = np.flatnonzero(np.diff(label[order])) + 1
+    return [g.tolist() for g in np.split(order, edges) if len(g) > 1]
+
+
 def overlap_needed(a: int, b: int, num: int, den: int) -> int:
     """The least intersection with which sizes a and b reach num/den."""
     return -(-num * (a + b) // (num + den))
@@ -212,7 +255,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shi
         for b in common.slices(batches):
             tokens, bounds = shingle_sets(common.binaries(b.column("text")), shingle)
             rank = order.value[(tokens >> np.uint64(46)).astype(np.int64)]
-            keys, sizes, firsts, lengths = [], [], [], []
+            keys, sizes, firsts, lengths, bits = [], [], [], [], []
             for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 if e > s:
                     own = tokens[s:e]
@@ -221,15 +264,16 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shi
                     sizes.append(e - s)
                     firsts.append(own[np.argsort(rank[s:e], kind="stable")[:p]])
                     lengths.append(p)
+                    bits.append(parity(own))
             flat = np.concatenate(firsts).view(np.int64) if firsts else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), common.lists(flat, lengths, pa.int64())], names=["key", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), common.lists(flat, lengths, pa.int64()), pa.array(bits, pa.binary())], names=["key", "n", "tokens", "bits"])
 
     # one row for each distinct set
-    first = ws.write(rows.select("text").mapInArrow(prefixes, "key long, n long, tokens array<long>").groupBy("key").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")), "prefixes")
+    first = ws.write(rows.select("text").mapInArrow(prefixes, "key long, n long, tokens array<long>, bits binary").groupBy("key").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("bits").alias("bits")), "prefixes")
     entries = first.select("key", "n", F.posexplode("tokens").alias("pos", "token"))
     lengths = ws.write(entries.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("least"), F.max("n").alias("most")).where("members > 1"), "lengths")
     index = ws.write(entries.join(lengths.select("token", "members"), "token"), "index")
-    ws.drop("prefixes", "lengths")
+    ws.drop("lengths")
 
     def short_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -252,7 +296,40 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shi
     swap = (F.col("class") > F.col("other")) | ((F.col("class") == F.col("other")) & (F.col("own") > F.col("with")))
     a, b = F.struct("class", "own"), F.struct(F.col("other").alias("class"), F.col("with").alias("own"))
     long_pairs = pairs.select(F.xxhash64("token", F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b)).alias("list"), "key", F.when((F.col("class") == F.col("other")) & (F.col("own") == F.col("with")), 0).when(swap, 2).otherwise(1).alias("side"))
-    lists = ws.write(short.union(long_pairs), "lists")
+    candidates = ws.write(short.union(long_pairs), "candidates")
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, {}
+
+        def ended() -> list[tuple[int, list[int], list[int]]]:
+            if len(own) < 2:
+                return []
+            keys = list(own)
+            out = []
+            for group in possible_groups(keys, *([x[c] for x in own.values()] for c in range(3)), num, den):
+                mine = sorted((keys[i], own[keys[i]][1]) for i in group)
+                out.append((xxhash.xxh3_64_intdigest(np.array(mine, np.int64).tobytes()) - (1 << 63), [x[0] for x in mine], [x[1] for x in mine]))
+            return out
+
+        def batch(rows: list[tuple[int, list[int], list[int]]]) -> pa.RecordBatch:
+            cols = list(zip(*rows, strict=True)) or [()] * 3
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.int64())), pa.array(cols[2], pa.list_(pa.int32()))], names=["list", "keys", "sides"])
+
+        for b in common.slices(batches, "bits"):
+            out: list[tuple[int, list[int], list[int]]] = []
+            for i, key, n, side, raw in zip(*(b.column(c).to_pylist() for c in ("list", "key", "n", "side", "bits")), strict=True):
+                if i != at:
+                    out += ended()
+                    at, own = i, {}
+                own[key] = n, side, raw
+            yield batch(out)
+        yield batch(ended())
+
+    marked = candidates.join(first.select("key", "n", "bits"), "key")
+    pruned = marked.repartition(parts, "list").sortWithinPartitions("list").mapInArrow(prune, "list long, keys array<long>, sides array<int>")
+    pruned = pruned.groupBy("list").agg(F.first("keys").alias("keys"), F.first("sides").alias("sides")).select("list", F.explode(F.arrays_zip("keys", "sides")).alias("x"))
+    lists = ws.write(pruned.select("list", F.col("x.keys").alias("key"), F.col("x.sides").alias("side")), "lists")
+    ws.drop("prefixes", "index", "candidates", "classes")
 
     # the sets themselves, for those in a list, from one document of each
     holders = signatures.where("key IS NOT NULL").groupBy("key").agg(F.min("place").alias("place"))
@@ -291,7 +368,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shi
         yield batch(ended())
 
     links = ws.write(lists.join(held, "key").repartition(parts, "list").sortWithinPartitions("list").mapInArrow(verify, "a long, b long"), "links")
-    ws.drop("index", "lists", "sets", "wanted", "classes")
+    ws.drop("lists", "sets", "wanted")
     roots = components(ws, links)
     ids = signatures.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least"))
     named = ids.join(roots, ids["key"] == roots["node"], "left").select("key", F.coalesce("root", "key").alias("root"), "least")
