@@ -18,15 +18,17 @@ def components(ws: Workspace, links: DataFrame, rounds: int = 60) -> DataFrame:
     """
     now = ws.write(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links0")
     before = None
+    # the steps only shrink the table: as many tasks as its rows need
+    tasks = 1 + now.count() // 100_000
     for i in range(1, rounds + 1):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = ws.write(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), f"large{i}")
+        least = ws.write(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).coalesce(tasks), f"large{i}")
         large = both.where("b > a").join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = ws.write(large, f"links{i}a")
-        least = ws.write(large.groupBy("a").agg(F.min("b").alias("m")), f"small{i}")
+        large = ws.write(large.coalesce(tasks), f"links{i}a")
+        least = ws.write(large.groupBy("a").agg(F.min("b").alias("m")).coalesce(tasks), f"small{i}")
         joined = large.join(least, "a")
         moved = joined.where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
-        now = ws.write(moved, f"links{i}")
+        now = ws.write(moved.coalesce(tasks), f"links{i}")
         state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         ws.drop(f"links{i - 1}", f"large{i}", f"links{i}a", f"small{i}")
         if state == before:
