@@ -31,6 +31,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,13 +132,16 @@ def place(id_col: str) -> Column:
 
 def find_anchors(window: int, gram: int):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        rid = (context.partitionId() if context else 0) << 36
         for b in common.slices(batches):
             a, text, _, _ = anchors(split(b.column("text")), window, gram)
             order = np.lexsort((a, text))
             a, text = a[order], text[order]
             fresh = np.ones(len(a), bool)
             fresh[1:] = (a[1:] != a[:-1]) | (text[1:] != text[:-1])
-            yield pa.RecordBatch.from_arrays([b.column("place"), b.column("th"), common.lists(a[fresh].view(np.int64), np.bincount(text[fresh], minlength=b.num_rows), pa.int64())], names=["place", "th", "anchors"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(rid, rid + b.num_rows)), b.column("place"), b.column("th"), common.lists(a[fresh].view(np.int64), np.bincount(text[fresh], minlength=b.num_rows), pa.int64())], names=["rid", "place", "th", "anchors"])
+            rid += b.num_rows
 
     return kernel
 
@@ -223,12 +227,15 @@ def find_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     ws = Workspace(spark, "substrings")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(place(id_col).alias("place"), F.xxhash64(text).alias("th"), text.alias("text"))
-    found = ws.write(rows.mapInArrow(find_anchors(window, gram), "place long, th long, anchors array<long>"), "anchors")
-    each = found.select("place", "th", F.explode("anchors").alias("anchor"))
-    shared = ws.write(each.groupBy("anchor").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last").select("anchor", (F.col("n") > hot).alias("hot")), "shared")
+    found = ws.write(rows.mapInArrow(find_anchors(window, gram), "rid long, place long, th long, anchors array<long>"), "anchors")
+    each = found.select("rid", F.explode("anchors").alias("anchor"))
+    placed = found.select("place", F.explode("anchors").alias("anchor"))
+    shared = ws.write(placed.groupBy("anchor").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last").select("anchor", (F.col("n") > hot).alias("hot")), "shared")
     # both sides come from tables, so each has an exchange of its own that Spark can split where an anchor is hot
-    mine = each.join(shared, "anchor").groupBy("place", "th").agg(F.collect_set(F.when(~F.col("hot"), F.col("anchor"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
-    mine = ws.write(mine, "mine")
+    mine = each.join(shared, "anchor").groupBy("rid").agg(F.collect_set(F.when(~F.col("hot"), F.col("anchor"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
+    # of rows with one id and one text the first stands for all
+    once = found.groupBy("place", "th").agg(F.min("rid").alias("rid"))
+    mine = ws.write(once.join(mine, "rid").drop("rid"), "mine")
     ws.drop("anchors", "shared")
     segments = ws.write(rows.join(mine, ["place", "th"]).mapInArrow(cut_segments(window, gram), SEGMENTS), "segments")
     ws.drop("mine")
