@@ -33,7 +33,7 @@ from textloom.llm import common
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 NO_PAIR = np.int32(2**31 - 1)
-CACHE_WORDS = 300_000
+CACHE_WORDS = 250_000
 SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 
@@ -216,10 +216,11 @@ class PieceCodec:
     def encode(self, texts: list[str], marks: bool = True) -> list[bytes]:
         """Ids of each text, with begin and end ids if marks, as little-endian unsigned 32-bit integers."""
         keys = [self.words(t) if t else [] for t in texts]
-        missing = list({k for own in keys for k in own if k not in self.cache})
+        wanted: set[str] = set().union(*keys)
+        missing = list(wanted.difference(self.cache))
         if len(self.cache) + len(missing) > CACHE_WORDS:
             self.cache.clear()
-            missing = list({k for own in keys for k in own})
+            missing = list(wanted)
         self.cache.update(zip(missing, self.merge([k if k[:1] in (SPACE, "\n") else SPACE + k for k in missing]), strict=True))
         head, tail = (struct.pack("<I", i) if marks else b"" for i in (self.bos, self.eos))
         get = self.cache.__getitem__
