@@ -20,12 +20,14 @@ gives no pieces; with more than `max_queues` sources a queue is a hash of them.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,11 +35,18 @@ from pyspark.sql import functions as F
 from textloom.llm import common
 from textloom.llm.common import Workspace
 
-CACHE_WORDS = 300_000
+CACHE_WORDS, CACHE_PARTS = 100_000, 250_000
+#: Marks a word that is to be encoded as it is; line ends never occur in words.
+SEVERAL = "\n"
 
 
 class WordTokenizer:
-    """Ids by a tokenizer whose tokens never reach across a space or a line end, with the ids of words kept."""
+    """Ids by a tokenizer whose tokens never reach across a space or a line end.
+
+    The ids of words are kept. Where the tokenizer's own description says that a word
+    falls into parts by one pattern, each ending in a token with an end-of-word mark,
+    the parts of many new words are encoded as one text and told apart by that mark.
+    """
 
     def __init__(self, data: str):
         import os
@@ -46,17 +55,73 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(data)
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.pattern = self._pattern(json.loads(data))
+        if self.pattern:
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+
+    @staticmethod
+    def _pattern(own: dict):
+        steps = (own.get("normalizer") or {}).get("normalizers", [])
+        cuts = (own.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        known = [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in cuts] == ["Split", "ByteLevel"]
+        if not known or own["model"].get("end_of_word_suffix") != "</w>" or not (cuts[0]["invert"] and cuts[0]["behavior"] == "Removed") or cuts[1]["add_prefix_space"] or cuts[1]["use_regex"]:
+            return None
+        return regex.compile(cuts[0]["pattern"]["Regex"])
+
+    def _split(self, word: str) -> tuple[str, ...] | list[str]:
+        """The parts of a word in lower case."""
+        if word.isalpha():
+            return (word,)
+        if word[-1] in ".,!?;:" and word[:-1].isalpha():
+            return word[:-1], word[-1]
+        return self.pattern.findall(word)
+
+    def _learn(self, words: list[str]) -> None:
+        """Puts the ids of new words into the cache."""
+        plain = [w for w in words if w and w[0] != SEVERAL] if self.pattern else []
+        if plain:
+            split = [self._split(w) for w in plain]
+            fresh = list({p for own in split for p in own}.difference(self.parts))
+            if len(self.parts) + len(fresh) > CACHE_PARTS:
+                self.parts.clear()
+                fresh = list({p for own in split for p in own})
+            if fresh:
+                ids = np.array(self.tokenizer.encode_batch_fast([" ".join(fresh)], add_special_tokens=False)[0].ids, self.kind)
+                stops = ((np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize).tolist()
+                if len(stops) != len(fresh):
+                    raise ValueError("the tokenizer does not end each part with an end-of-word token")
+                raw = ids.tobytes()
+                self.parts.update((p, raw[a:b]) for p, a, b in zip(fresh, [0, *stops[:-1]], stops, strict=True))
+            get = self.parts.__getitem__
+            self.cache.update((w, get(own[0]) if len(own) == 1 else b"".join(map(get, own))) for w, own in zip(plain, split, strict=True))
+        rest = [w for w in words if w not in self.cache]
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast([w[1:] if w[:1] == SEVERAL else w for w in rest], add_special_tokens=False), strict=True):
+            self.cache[w] = np.array(e.ids, self.kind).tobytes()
+
+    def _words(self, text: str) -> list[str]:
+        """Below U+0130 lower case is letter for letter and nothing is composed anew, and "<|" may begin a special token: other words are marked, to be encoded as they are."""
+        if not self.pattern:
+            return text.replace("\n", " ").split(" ")
+        if "<|" not in text:
+            try:
+                text.encode("latin-1")
+                return text.lower().replace("\n", " ").split(" ")
+            except UnicodeEncodeError:
+                pass
+        return [w.lower() if w and max(w) < "\u0130" and "<|" not in w else SEVERAL + w for w in text.replace("\n", " ").split(" ")]
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
-        keys = [t.replace("\n", " ").split(" ") for t in texts]
-        missing = list({k for own in keys for k in own if k not in self.cache})
+        keys = [self._words(t) for t in texts]
+        wanted = set().union(*keys)
+        missing = wanted.difference(self.cache)
         if len(self.cache) + len(missing) > CACHE_WORDS:
             self.cache.clear()
-            missing = list({k for own in keys for k in own})
-        for k, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            self.cache[k] = np.array(e.ids, self.kind).tobytes()
+            missing = wanted
+        self._learn(list(missing))
         tail = np.array([end], self.kind).tobytes()
         get = self.cache.__getitem__
         return [b"".join((*map(get, own), tail)) for own in keys]
@@ -89,6 +154,7 @@ class Lanes:
         self.times = np.unique(self.totals / self.rates)
         self.spent = np.array([np.minimum(self.totals, self.rates * u).sum() for u in self.times])
         self.plan = lru_cache(maxsize=64)(self._plan)
+        self.last: dict[int, int] = {}  # the lane each queue was last asked for
 
     def bounds(self, lane: int) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of each queue before the lane, and the fractions owed to it there."""
@@ -142,32 +208,37 @@ class Lanes:
         ends = np.cumsum([1 << i for i in range(rest.bit_length() - 1, -1, -1) if rest >> i & 1]).astype(np.int64)
         return first, done, starts, ends
 
-    def pieces(self, queue: int, begin: int, n: int) -> Iterator[tuple[int, int, int, int]]:
-        """(start in the document, length, sequence, offset there) for tokens begin to begin + n of the queue."""
-        at, lane = begin, self.lane_of(queue, begin)
+    def pieces(self, queue: int, begin: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(start in the document, length, sequence, offset there) of the pieces of tokens begin to begin + n of the queue."""
+        at, lane, out = begin, self.last.get(queue, 0), []
+        first, done, starts, ends = self.plan(lane)
+        if not first[queue] <= at < first[queue] + done[-1, queue]:
+            lane = self.lane_of(queue, begin)
         while at < begin + n:
             first, done, starts, ends = self.plan(lane)
-            own = done[:, queue]
-            local = at - int(first[queue])
-            stop = min(begin + n, int(first[queue] + own[-1])) - int(first[queue])
-            w = int(np.searchsorted(own, local, side="right")) - 1
-            while local < stop:
-                to = min(stop, int(own[w + 1]))
-                if to > local:
-                    offset = int(starts[w, queue]) + local - int(own[w])
-                    if w < len(starts) - 1 or not len(ends):
-                        yield local + int(first[queue]) - begin, to - local, lane * self.stride + w, offset
-                    else:  # the last window: cut at the powers of two
-                        x, end = offset, offset + to - local
-                        while x < end:
-                            i = int(np.searchsorted(ends, x, side="right"))
-                            y = min(end, int(ends[i]))
-                            yield local + x - offset + int(first[queue]) - begin, y - x, lane * self.stride + w + i, x - (int(ends[i - 1]) if i else 0)
-                            x = y
-                local = to
-                w += 1
-            at = int(first[queue]) + local
+            own, base = done[:, queue], int(first[queue])
+            low, high = at - base, min(begin + n - base, int(own[-1]))
+            if high > low:
+                a, b = int(own.searchsorted(low, side="right")) - 1, int(own.searchsorted(high, side="left"))
+                edges = own[a : b + 1].copy()
+                edges[0], edges[-1] = low, high
+                w = np.arange(a, b)
+                offset = starts[a:b, queue] + edges[:-1] - own[a:b]
+                if len(ends) and b == len(starts):  # the last window: cut at the powers of two too
+                    more = ends[(ends > offset[-1]) & (ends < offset[-1] + edges[-1] - edges[-2])]
+                    if len(more):
+                        edges = np.concatenate((edges[:-1], edges[-2] + more - offset[-1], edges[-1:]))
+                        offset = np.concatenate((offset, more))
+                    k = ends.searchsorted(offset[b - a - 1 :], side="right")
+                    w = np.concatenate((w[:-1], b - 1 + k))
+                    offset[b - a - 1 :] -= np.concatenate(([0], ends))[k]
+                size = np.diff(edges)
+                keep = size > 0  # a window may have no place for the queue
+                out.append((edges[:-1][keep] + (base - begin), size[keep], w[keep] + lane * self.stride, offset[keep]))
+            self.last[queue] = lane
+            at = base + max(high, low)
             lane += 1
+        return out[0] if len(out) == 1 else tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 TOKENS = "doc_id long, queue string, block long, begin long, n long, ids binary"
@@ -186,7 +257,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(data.value)
-        width = np.dtype(t.kind).itemsize
+        width = t.kind.itemsize
         block = TaskContext.get().partitionId()
         at: dict[str, int] = {}
         for b in common.slices(batches):
@@ -196,6 +267,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
                 begins.append(at.get(q, 0))
                 at[q] = begins[-1] + n
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("queue"), pa.array([block] * len(ids), pa.int64()), pa.array(begins, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "queue", "block", "begin", "n", "ids"])
+        t.cache.clear()  # the worker goes on to other work; parts are kept for its next task
 
     rows = ws.write(docs.select(F.col(id_col).cast("long").alias("doc_id"), source.alias("queue"), F.col(text_col).alias("text")).mapInArrow(tokens, TOKENS), "tokens")
     parts = ws.write(rows.groupBy("queue", "block").agg(F.sum("n").alias("n")), "parts")
@@ -210,12 +282,18 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
         index = {q: i for i, q in enumerate(plan.queues)}
         kind = tokenizer(data.value).kind
         for b in common.slices(batches, "ids"):
-            out: list[tuple] = []
-            for doc, queue, begin, n, ids in zip(*(b.column(c).to_pylist() for c in ("doc_id", "queue", "begin", "n", "ids")), strict=True):
-                wide = np.frombuffer(ids, kind).astype("<u4")
-                out += [(doc, s, m, zlib.crc32(wide[s : s + m]), n, sequence, offset) for s, m, sequence, offset in plan.pieces(index[queue], begin, n)]
-            cols = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            columns: list[tuple[np.ndarray, ...]] = []
+            sums: list[int] = []
+            rows_of = zip(*(b.column(c).to_pylist() for c in ("queue", "begin", "n", "ids")), strict=True)
+            for queue, begin, n, ids in rows_of:
+                made_here = plan.pieces(index[queue], begin, n)
+                columns.append(made_here)
+                wide = memoryview(np.frombuffer(ids, kind).astype("<u4").tobytes())
+                sums += [zlib.crc32(wide[4 * s : 4 * (s + m)]) for s, m in zip(made_here[0].tolist(), made_here[1].tolist(), strict=True)]
+            counts = [len(x[0]) for x in columns]
+            row = pa.array(np.repeat(np.arange(b.num_rows), counts))
+            start, size, sequence, offset = (pa.array(np.concatenate(x)) for x in zip(*columns, strict=True))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(row), start, size, pa.array(sums, pa.int64()), b.column("n").take(row), sequence, offset], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     placed = rows.join(bases, ["queue", "block"]).select("doc_id", "queue", (F.col("begin") + F.col("base")).alias("begin"), "n", "ids")
     return placed.mapInArrow(cut, PIECES)
