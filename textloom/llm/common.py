@@ -11,11 +11,14 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text handled at once inside a kernel, in bytes; bounds a Python worker's memory whatever the batch size.
 SLICE_BYTES = 2 << 20
+#: Text in one Arrow batch between the JVM and a Python worker.
+BATCH_BYTES = 16 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -28,11 +31,19 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches end by bytes as well as by rows, so that long texts don't fill a worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 class Workspace:
     """A fresh folder under the shared root; tables written there cut lineage, so a lost executor costs one stage at most."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_root(spark)}/textloom/{name}-{uuid.uuid4().hex}"
+        bound_batches(spark)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{self.path}/{name}", compression="zstd")
@@ -46,13 +57,18 @@ class Workspace:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
     def free(self) -> None:
-        """Lets Spark's cleaner delete the shuffle files of finished jobs."""
+        """Lets Spark's cleaner delete the shuffle files of finished jobs: what listeners have not yet seen still holds them."""
         gc.collect()
+        try:
+            self.spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(5_000)
+        except Py4JJavaError:  # still busy: the next call frees them
+            pass
         self.spark._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table; one that lies in fewer splits than half the cores (a small file) is dealt out, as its kernels would else run in one task."""
+    bound_batches(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
