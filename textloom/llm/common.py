@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -46,9 +47,11 @@ class Workspace:
         bound_batches(spark)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
+        schema = df.schema
         df.write.parquet(f"{self.path}/{name}", compression="zstd")
+        del df  # its plan holds shuffles
         self.free()
-        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:
         jvm = self.spark._jvm
@@ -63,7 +66,9 @@ class Workspace:
             self.spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(5_000)
         except Py4JJavaError:  # still busy: the next call frees them
             pass
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # what the first collection lets go of, the second one finds
+            self.spark._jvm.System.gc()
+            time.sleep(0.1)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
