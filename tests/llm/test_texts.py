@@ -119,6 +119,17 @@ def test_quality_lines(spark, empty):
     assert quality.assess(empty).count() == 0 and quality.clean(empty).count() == 0
 
 
+def test_quality_long_lines(spark):
+    notice = " ".join(f"clause{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    body = lambda i: " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + j)}" for j in range(26))
+    rows = [(i, f"{notice}\n{body(i)}" if i < 40 else f"{notice}\nonly {body(i)[:4]}" if i < 60 else body(i), "h") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.n_line_words, r.kept) for r in quality.assess(docs, min_docs=20, max_share=0.1).collect()}
+    assert got == {i: (60 if i < 60 else 0, not 40 <= i < 60) for i in range(80)}
+    kept = {r.doc_id: r.text for r in quality.clean(docs, min_docs=20, max_share=0.1).collect()}
+    assert kept == {i: body(i) for i in range(80) if not 40 <= i < 60}
+
+
 def test_quality_awkward(awkward):
     assert quality.assess(awkward).count() == awkward.count()
     kept = quality.clean(awkward)

@@ -6,8 +6,9 @@ each host the number of distinct documents that hold a line is counted, exact
 copies of a text as one document. A line over the host's limit is removed; a
 document that keeps too little is depleted and rejected.
 
-Lines of more than `max_line_words` words are paragraphs: copies of those are
-the business of the duplicate operators, so they are neither counted nor removed.
+Lines of every length are counted and removed: of a line only its hash and its
+number of words are moved. The SQL beside this leaves out lines of over 32 words; the
+two agree where no such line is over its host's limit.
 
 Edge cases: null text is empty (no words, base_failed); null host is a host of
 its own; repeated rows each get a row; null ids stay null; an empty table gives
@@ -66,39 +67,35 @@ def repeat_words(words: list[bytes], n: int = 8) -> int:
     return int((np.cumsum(cover)[:-1] > 0).sum())
 
 
-def measure(max_line_words: int):
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context, at = TaskContext.get(), 0
-        first = (context.partitionId() if context else 0) << 36
-        for b in common.slices(batches):
-            out, flat, flat_words, counts = [], [], [], []
-            for text in common.binaries(b.column("text")):
-                words = text.split()
-                spaces = len(text) - len(text.translate(None, SPACES))
-                chars = len(text.decode()) if not text.isascii() else len(text)
-                seen: set[bytes] = set()
-                dup, own = 0, {}
-                for line in text.split(b"\n"):
-                    n = len(line.split())
-                    if n:
-                        if line in seen:
-                            dup += 1
-                        seen.add(line)
-                        if n <= max_line_words:
-                            key = line_key(line)
-                            own[key] = own.get(key, 0) + n
-                out.append((len(words), chars - spaces, len(text) - len(text.translate(None, SYMBOLS)), dup, repeat_words(words)))
-                flat += own
-                flat_words += own.values()
-                counts.append(len(own))
-            cols = np.array(out, dtype=np.int64).reshape(-1, 5)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(first + at, first + at + b.num_rows)), b.column("doc_id"), b.column("th"), b.column("host"), *(pa.array(cols[:, i]) for i in range(5)), common.lists(np.array(flat, np.int64), counts, pa.int64()), common.lists(np.array(flat_words, np.int32), counts, pa.int32())],
-                names=["rid", "doc_id", "th", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "line_words"],
-            )
-            at += b.num_rows
-
-    return kernel
+def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    context, at = TaskContext.get(), 0
+    first = (context.partitionId() if context else 0) << 36
+    for b in common.slices(batches):
+        out, flat, flat_words, counts = [], [], [], []
+        for text in common.binaries(b.column("text")):
+            words = text.split()
+            spaces = len(text) - len(text.translate(None, SPACES))
+            chars = len(text.decode()) if not text.isascii() else len(text)
+            seen: set[bytes] = set()
+            dup, own = 0, {}
+            for line in text.split(b"\n"):
+                n = len(line.split())
+                if n:
+                    if line in seen:
+                        dup += 1
+                    seen.add(line)
+                    key = line_key(line)
+                    own[key] = own.get(key, 0) + n
+            out.append((len(words), chars - spaces, len(text) - len(text.translate(None, SYMBOLS)), dup, repeat_words(words)))
+            flat += own
+            flat_words += own.values()
+            counts.append(len(own))
+        cols = np.array(out, dtype=np.int64).reshape(-1, 5)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(first + at, first + at + b.num_rows)), b.column("doc_id"), b.column("th"), b.column("host"), *(pa.array(cols[:, i]) for i in range(5)), common.lists(np.array(flat, np.int64), counts, pa.int64()), common.lists(np.array(flat_words, np.int32), counts, pa.int32())],
+            names=["rid", "doc_id", "th", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "line_words"],
+        )
+        at += b.num_rows
 
 
 def frequent_lines(base: DataFrame, min_docs: int, max_share: float) -> DataFrame:
@@ -109,7 +106,7 @@ def frequent_lines(base: DataFrame, min_docs: int, max_share: float) -> DataFram
     return counts.join(hosts, "host").where(F.col("n") > F.col("docs") * F.lit(max_share)).select("host", "line")
 
 
-def assess(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 20, max_repeat_pct: int = 30, max_line_words: int = 32, min_docs: int = 20, max_share: float = 0.01, min_kept_share: float = 0.3) -> DataFrame:
+def assess(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 20, max_repeat_pct: int = 30, min_docs: int = 20, max_share: float = 0.01, min_kept_share: float = 0.3) -> DataFrame:
     """A row for each input row: the base measures, the words that frequent lines take, the verdict, and the keys of the lines to remove (drop).
 
     th is xxhash64 of the text (null as empty), host the host with null as "\\0".
@@ -117,7 +114,7 @@ def assess(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", h
     ws = Workspace(docs.sparkSession, "quality")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), host_of(host_col).alias("host"), text.alias("text"))
-    base = ws.write(rows.mapInArrow(measure(max_line_words), BASE), "base")
+    base = ws.write(rows.mapInArrow(measure, BASE), "base")
     frequent = ws.write(frequent_lines(base, min_docs, max_share), "frequent")
     lines = base.select("rid", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("rid", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("w"))
     # frequent is read from a table, so each side has an exchange of its own and Spark can split a line that fills a host
