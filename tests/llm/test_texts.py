@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -239,6 +240,58 @@ def test_licenses(spark, sf, awkward, empty):
     assert licenses.scan(awkward).count() == 0 and licenses.scan(empty).count() == 0
 
 
+def slow_notice(template, words):
+    """Least differences (words lacking and added) of the template to a stretch of words."""
+
+    def apart(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(row[j] if x == y else min(row[j + 1], new[j]) + 1)
+            row = new
+        return row[-1]
+
+    return min(apart(template, words[i:j]) for i in range(len(words)) for j in range(i + 1, len(words) + 1))
+
+
+@given(st.lists(st.sampled_from("abc"), min_size=1, max_size=8), st.lists(st.sampled_from("abcd"), min_size=1, max_size=12), st.sampled_from([0.1, 0.25, 0.5]))
+def test_license_stretches(template, words, most):
+    scanner = licenses.Scanner({"x": [" ".join(template)]})
+    found = scanner.stretches(words, most)
+    least = slow_notice(template, words)
+    assert least <= most * len(template) if found else least
+    for score, _, at, to in found:
+        lacks, adds = scanner.differences(template, words[at:to])
+        assert len(lacks) + len(adds) <= most * len(template) and score == len(template) - 2 * len(lacks) - len(adds)
+
+
+def test_license_stretches_whole():
+    template, rng = [f"w{i}" for i in range(40)], random.Random(5)
+    scanner = licenses.Scanner({"x": [" ".join(template)]})
+    for _ in range(100):
+        changed = template[:]
+        for at in rng.sample(range(1, 39), 4):  # of 40 words, 4 may differ
+            changed[at] = None if rng.random() < 0.5 else f"{changed[at]} more"
+        gone, notice = changed.count(None), " ".join(x for x in changed if x).split()
+        words = template[:20] + ["x"] * 30 + notice + ["y"] * 30 + template[20:]
+        score, _, at, to = scanner.stretches(words, 0.1)[0]
+        assert (score, words[at:to]) == (40 - gone - 4, notice)
+    assert not scanner.stretches(["x", *template[:-3], "other", "words", "here"], 0.1)
+    assert scanner.stretches(["x", *template[:-3]], 0.1)
+
+
+def test_licenses_long_line(documents):
+    text = " ".join(" ".join(t.split()) for t in documents.text if t and not re.search(licenses.CUE, t))
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    for n, (name, own) in enumerate(licenses.TEMPLATES.items()):
+        for k, notice in enumerate(own):
+            at = (7919 * (3 * n + k)) % 28_000
+            block = f"{text[n * 30_000 :][:at]} {notice} {text[n * 30_000 + at :][: 30_000 - at]}"
+            got = scanner.scan(block, 0.15, 0.1, 5)
+            assert (got[0], got[2], got[3]) == (name, [], [])
+
+
 def test_rollup(spark, tmp_path):
     store = rollup.TokenRollup(spark, f"file://{tmp_path}/store")
     make = lambda *rows: spark.createDataFrame(list(rows), "kind string, source string, lang string, tokenizer string, tokens long, old_tokens long")

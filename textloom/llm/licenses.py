@@ -2,21 +2,21 @@
 
 A text's candidate blocks are its lines with a license cue. Each is compressed
 alone and with every template as a raw zstandard dictionary; the templates are
-ranked by how much smaller that makes it. The best few are confirmed by the exact
-wording differences to the template, word for word; the first within bounds wins,
-and its differences are part of the result.
+ranked by how much smaller that makes it. All are then compared word for word, at
+every place of the block where an unchanged piece of the template stands; that with
+most words shared, less differences, wins, the rank deciding between equal ones, and
+its differences are part of the result.
 
 Edge cases: null or empty text has no block; a block that no template explains is
 returned with license null, so nothing that looks like a license is lost; equal
 lines in a text are each returned; rows with equal ids each get their blocks; an
 empty table gives an empty result; very long lines are compressed whole, in time
-linear in their length, and compared around the template's words only.
+linear in their length, and compared where pieces of a template stand.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -67,51 +67,109 @@ class Scanner:
         return sorted(sizes, key=lambda x: (-x[0], abs(len(self.templates[x[1]][2]) - n), x[1]))
 
     @staticmethod
-    def differences(template: list[str], block: list[str]) -> tuple[list[str], list[str], list[str]]:
-        """(words the block lacks, words it has within the notice, words around it): the wording differences in full."""
-        lacks, adds, around = [], [], []
-        codes = SequenceMatcher(None, template, block, autojunk=False).get_opcodes()
-        for k, (kind, a, b, c, d) in enumerate(codes):
-            if kind == "equal":
-                continue
-            lacks += template[a:b]
-            (around if kind == "insert" and k in (0, len(codes) - 1) else adds).extend(block[c:d])
-        return lacks, adds, around
-
-    def near(self, template: list[str], block: list[str]) -> list[str]:
-        """Of a long block the stretch with most of the template's words; its length follows the template's."""
-        size = 2 * len(template) + 8
-        if len(block) <= 4 * size:
-            return block
-        known = Counter(template)
-        hits = [w in known for w in block]
-        best = at = score = sum(hits[:size])
-        at = 0
-        for i in range(len(block) - size):
-            score += hits[i + size] - hits[i]
-            if score > best:
-                best, at = score, i + 1
-        return block[at : at + size]
+    def differences(template: list[str], part: list[str]) -> tuple[list[str], list[str]]:
+        """(words the part lacks, words it adds): as few as can be."""
+        n, m = len(template), len(part)
+        common = [[0] * (m + 1) for _ in range(n + 1)]  # longest common subsequence of the ends from i and j
+        for i in range(n - 1, -1, -1):
+            for j in range(m - 1, -1, -1):
+                common[i][j] = common[i + 1][j + 1] + 1 if template[i] == part[j] else max(common[i + 1][j], common[i][j + 1])
+        lacks, adds, i, j = [], [], 0, 0
+        while i < n or j < m:
+            if i < n and j < m and template[i] == part[j]:
+                i, j = i + 1, j + 1
+            elif j == m or (i < n and common[i + 1][j] >= common[i][j + 1]):
+                lacks.append(template[i])
+                i += 1
+            else:
+                adds.append(part[j])
+                j += 1
+        return lacks, adds
+
+    @staticmethod
+    def with_edges(template: list[str], words: list[str], at: int, to: int) -> tuple[int, int]:
+        """The stretch with the words that stand where it lacks the template's first or last ones: those are other words, not just missing."""
+        shared = SequenceMatcher(None, template, words[at:to], autojunk=False).get_matching_blocks()[:-1]
+        if not shared:
+            return at, to
+        (a, b, _), (c, d, size) = shared[0], shared[-1]
+        return max(0, at - max(0, a - b)), min(len(words), to + max(0, len(template) - c - size - (to - at - d - size)))
+
+    def regions(self, words: list[str], most: float) -> Iterator[tuple[int, int, int]]:
+        """(template, from, to) of every stretch that can hold the template with up to `most` differences a word: of one more pieces than differences allowed, one is in it unchanged."""
+        sizes: dict[int, dict[tuple[str, ...], list[tuple[int, int]]]] = {}
+        bounds = [min(int(most * len(t) + 1e-9), len(t) - 1) for _, _, t in self.templates]
+        for i, (_, _, t) in enumerate(self.templates):
+            cuts = [len(t) * x // (bounds[i] + 1) for x in range(bounds[i] + 2)]
+            for at, to in zip(cuts, cuts[1:], strict=False):
+                sizes.setdefault(to - at, {}).setdefault(tuple(t[at:to]), []).append((i, at))
+        found: dict[int, list[tuple[int, int]]] = {}
+        for size, pieces in sizes.items():
+            firsts = {x[0] for x in pieces}
+            for p in range(len(words) - size + 1):
+                if words[p] in firsts:
+                    for i, at in pieces.get(tuple(words[p : p + size]), ()):
+                        start = p - at - bounds[i]
+                        found.setdefault(i, []).append((max(start, 0), min(start + len(self.templates[i][2]) + 2 * bounds[i], len(words))))
+        for i, spans in found.items():
+            spans.sort()
+            at, to = spans[0]
+            for x, y in spans[1:]:
+                if x > to:
+                    yield i, at, to
+                    at = x
+                to = max(to, y)
+            yield i, at, to
+
+    def stretches(self, words: list[str], most: float) -> list[tuple[int, int, int, int]]:
+        """(score, template, from, to) of every stretch within the bound, best first; score: words shared less differences."""
+        out = []
+        for i, at, to in self.regions(words, most):
+            t = self.templates[i][2]
+            n, bound = len(t), most * len(t) + 1e-9
+            last, begun = list(range(n + 1)), [at] * (n + 1)  # differences of the template's first words to the best stretch that ends here, and its start
+            for j in range(at, to):
+                now, start = [0], [j + 1]
+                for k, x in enumerate(t):
+                    if x == words[j]:
+                        now.append(last[k])
+                        start.append(begun[k])
+                    elif now[k] < last[k + 1]:
+                        now.append(now[k] + 1)
+                        start.append(start[k])
+                    else:
+                        now.append(last[k + 1] + 1)
+                        start.append(begun[k + 1])
+                last, begun = now, start
+                if last[n] <= bound and start[n] <= j:
+                    x, y, lost = start[n], j + 1, 0
+                    if last[n]:
+                        x, y = self.with_edges(t, words, x, y)
+                        lost = sum(map(len, self.differences(t, words[x:y])))
+                    if lost <= bound:
+                        out.append(((n + y - x - 3 * lost) // 2, i, x, y))
+        return sorted(out, key=lambda x: (-x[0], x[3] - x[2], x[2], x[1]))
 
     def scan(self, block: str, least: float, most: float, tries: int) -> tuple[str | None, float, list[str], list[str]]:
-        """(license, reduction, words lacking, words added); license None if no template is confirmed."""
-        words = words_of(block)
-        ranked = self.rank(block)
-        for saved, i in ranked[:tries]:
-            if saved < least and len(words) <= 4 * len(self.templates[i][2]):
-                break
-            template = self.templates[i][2]
-            lacks, adds, _ = self.differences(template, self.near(template, words))
-            if len(lacks) + len(adds) <= most * len(template):
-                return self.templates[i][0], saved, lacks, adds
-        return None, ranked[0][0], [], []
+        """(license, reduction, words lacking, words added) of the block's best notice; None if no template is confirmed.
+
+        Every template is compared word for word at every place; of equally good ones that wins which ranks first.
+        least and tries, once bounds of what was compared, cut nothing off.
+        """
+        words, ranked = words_of(block), self.rank(block)
+        found = self.stretches(words, most)
+        if not found:
+            return None, ranked[0][0], [], []
+        order = {i: (k, saved) for k, (saved, i) in enumerate(ranked)}
+        _, i, at, to = min((x for x in found if x[0] == found[0][0]), key=lambda x: order[x[1]][0])
+        return self.templates[i][0], order[i][1], *self.differences(self.templates[i][2], words[at:to])
 
 
 FOUND = "doc_id long, line int, block string, license string, reduction double, lacks array<string>, adds array<string>"
 
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.15, most: float = 0.1, tries: int = 5) -> DataFrame:
-    """A row for each block with a cue. least: the reduction a template must bring; most: wording differences, as a share of its words; tries: how many templates are compared word for word."""
+    """A row for each block with a cue. most: wording differences, as a share of the template's words; least and tries cut nothing off."""
     templates = templates or TEMPLATES
     cue = re.compile(CUE)
     made: list[Scanner] = []
