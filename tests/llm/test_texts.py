@@ -292,6 +292,15 @@ def test_licenses_long_line(documents):
             assert (got[0], got[2], got[3]) == (name, [], [])
 
 
+def test_licenses_of_one_line(spark):
+    mit, by = licenses.TEMPLATES["MIT"][1], licenses.TEMPLATES["CC-BY-4.0"][1]
+    line = f"some words {mit} {'blah ' * 400} {by} {'words ' * 200} all under the Licence of Nowhere"
+    docs = spark.createDataFrame([(1, line), (2, f"intro\n{by} {mit} {by}")], "doc_id long, text string")
+    got = [(r.doc_id, r.line, r.license, r.lacks, r.adds) for r in licenses.scan(docs).collect()]
+    assert sorted(got[:3], key=str) == sorted([(1, 1, x, [], []) for x in ("MIT", "CC-BY-4.0", None)], key=str)
+    assert got[3:] == [(2, 2, x, [], []) for x in ("CC-BY-4.0", "MIT", "CC-BY-4.0")]
+
+
 def test_rollup(spark, tmp_path):
     store = rollup.TokenRollup(spark, f"file://{tmp_path}/store")
     make = lambda *rows: spark.createDataFrame(list(rows), "kind string, source string, lang string, tokenizer string, tokens long, old_tokens long")

@@ -8,8 +8,8 @@ most words shared, less differences, wins, the rank deciding between equal ones,
 its differences are part of the result.
 
 Edge cases: null or empty text has no block; a block that no template explains is
-returned with license null, so nothing that looks like a license is lost; equal
-lines in a text are each returned; rows with equal ids each get their blocks; an
+returned with license null, so nothing that looks like a license is lost, as is a
+line with a notice and a cue outside of it; equal lines in a text are each returned; rows with equal ids each get their blocks; an
 empty table gives an empty result; very long lines are compressed whole, in time
 linear in their length, and compared where pieces of a template stand.
 """
@@ -17,6 +17,7 @@ linear in their length, and compared where pieces of a template stand.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -49,8 +50,11 @@ CUE = r"(?i)licen[cs]|copyright|©|rights reserved|creative commons|\bcc[ -]by\b
 WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 
 
+LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}  # keeps places as they are
+
+
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    return WORD.findall(text.translate(LOWER))
 
 
 class Scanner:
@@ -150,26 +154,54 @@ class Scanner:
                         out.append(((n + y - x - 3 * lost) // 2, i, x, y))
         return sorted(out, key=lambda x: (-x[0], x[3] - x[2], x[2], x[1]))
 
-    def scan(self, block: str, least: float, most: float, tries: int) -> tuple[str | None, float, list[str], list[str]]:
-        """(license, reduction, words lacking, words added) of the block's best notice; None if no template is confirmed.
+    def saving(self, i: int, text: str) -> float:
+        data = text.encode()
+        return 1 - len(self.with_template[i].compress(data)) / len(self.plain.compress(data))
 
-        Every template is compared word for word at every place; of equally good ones that wins which ranks first.
-        least and tries, once bounds of what was compared, cut nothing off.
+    def notices(self, block: str, cue: re.Pattern, most: float) -> list[tuple[int, str, str | None, float, list[str], list[str]]]:
+        """(line within the block, its text, license, reduction, words lacking, words added) of each notice of the block, and with license None of each line with a cue outside of them.
+
+        Of notices that overlap the one with the best score stays, of equal ones that whose template saves most.
         """
-        words, ranked = words_of(block), self.rank(block)
-        found = self.stretches(words, most)
-        if not found:
-            return None, ranked[0][0], [], []
-        order = {i: (k, saved) for k, (saved, i) in enumerate(ranked)}
-        _, i, at, to = min((x for x in found if x[0] == found[0][0]), key=lambda x: order[x[1]][0])
-        return self.templates[i][0], order[i][1], *self.differences(self.templates[i][2], words[at:to])
+        spots = [x.span() for x in WORD.finditer(block.translate(LOWER))]
+        words = words_of(block)
+        starts = [0, *(x.end() for x in re.finditer("\n", block))]
+
+        def lines(at: int, to: int) -> tuple[int, int]:
+            end = block.find("\n", to)
+            return starts[bisect_right(starts, at) - 1], len(block) if end < 0 else end
+
+        held = []
+        for score, i, at, to in self.stretches(words, most):
+            x, y = spots[at][0], spots[to - 1][1]
+            a, b = lines(x, y)
+            alone = (not at or spots[at - 1][1] <= a) and (to == len(spots) or spots[to][0] >= b)
+            held.append((-score, -self.saving(i, block[a:b] if alone else block[x:y]), at, to, i))
+        out, taken = [], bytearray(len(block))
+        for _, saved, at, to, i in sorted(held):
+            x, y = spots[at][0], spots[to - 1][1]
+            if not any(taken[x:y]):
+                taken[x:y] = b"\1" * (y - x)
+                a, b = lines(x, y)
+                out.append((x, a, b, self.templates[i][0], -saved, *self.differences(self.templates[i][2], words[at:to])))
+        rest: dict[tuple[int, int], int] = {}
+        for found in cue.finditer(block):
+            if not any(taken[found.start() : found.end()]):
+                rest.setdefault(lines(found.start(), found.end()), found.start())
+        out += [(at, a, b, None, self.rank(block[a:b])[0][0], [], []) for (a, b), at in rest.items()]
+        return [(bisect_right(starts, a) - 1, block[a:b], *x) for _, a, b, *x in sorted(out, key=lambda x: x[0])]
+
+    def scan(self, block: str, least: float, most: float, tries: int) -> tuple[str | None, float, list[str], list[str]]:
+        """(license, reduction, words lacking, words added) of the block's first notice; None if no template is confirmed. least and tries, once bounds of what was compared, cut nothing off."""
+        known = [x[2:] for x in self.notices(block, re.compile(CUE), most) if x[2]]
+        return known[0] if known else (None, self.rank(block)[0][0], [], [])
 
 
 FOUND = "doc_id long, line int, block string, license string, reduction double, lacks array<string>, adds array<string>"
 
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, *, id_col: str = "doc_id", text_col: str = "text", least: float = 0.15, most: float = 0.1, tries: int = 5) -> DataFrame:
-    """A row for each block with a cue. most: wording differences, as a share of the template's words; least and tries cut nothing off."""
+    """A row for each notice of a block, and one for each line with a cue outside of notices. most: wording differences, as a share of the template's words; least and tries cut nothing off."""
     templates = templates or TEMPLATES
     cue = re.compile(CUE)
     made: list[Scanner] = []
@@ -182,7 +214,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, *, id_c
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 for n, line in enumerate(text.split("\n"), 1):
                     if cue.search(line):
-                        out.append((doc, n, line, *made[0].scan(line, least, most, tries)))
+                        out += [(doc, n + at, *found) for at, *found in made[0].notices(line, cue, most)]
             cols = list(zip(*out, strict=True)) or [()] * 7
             kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "line", "block", "license", "reduction", "lacks", "adds"])
