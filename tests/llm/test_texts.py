@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -301,6 +302,15 @@ def test_licenses_of_one_line(spark):
     assert got[3:] == [(2, 2, x, [], []) for x in ("CC-BY-4.0", "MIT", "CC-BY-4.0")]
 
 
+def test_licenses_wrapped(spark):
+    wrap = lambda t, mark: "\n".join(mark + x for x in textwrap.wrap(t, 60, break_on_hyphens=False))
+    wrapped = [(name, wrap(own[-1], mark)) for name, own in licenses.TEMPLATES.items() for mark in ("", "# ", " * ")]
+    docs = spark.createDataFrame([(i, f"Title\n#\nsome words before\n{x}\nwords after\n\nmore") for i, (_, x) in enumerate(wrapped)] + [(99, "all rights\nreserved\n©\n\nsold, all rights\nreserve")], "doc_id long, text string")
+    got = licenses.scan(docs).collect()
+    assert [(r.doc_id, r.line, r.license, r.block, r.lacks, r.adds) for r in got if r.doc_id < 99] == [(i, 4, name, x, [], []) for i, (name, x) in enumerate(wrapped)]
+    assert [(r.line, r.license, r.block) for r in got if r.doc_id == 99] == [(1, "LicenseRef-All-Rights-Reserved", "all rights\nreserved"), (3, None, "©")]
+
+
 def test_rollup(spark, tmp_path):
     store = rollup.TokenRollup(spark, f"file://{tmp_path}/store")
     make = lambda *rows: spark.createDataFrame(list(rows), "kind string, source string, lang string, tokenizer string, tokens long, old_tokens long")

@@ -1,17 +1,18 @@
 """Operator 9, license scans by conditional compression.
 
-A text's candidate blocks are its lines with a license cue. Each is compressed
-alone and with every template as a raw zstandard dictionary; the templates are
-ranked by how much smaller that makes it. All are then compared word for word, at
-every place of the block where an unchanged piece of the template stands; that with
-most words shared, less differences, wins, the rank deciding between equal ones, and
-its differences are part of the result.
-
-Edge cases: null or empty text has no block; a block that no template explains is
-returned with license null, so nothing that looks like a license is lost, as is a
-line with a notice and a cue outside of it; equal lines in a text are each returned; rows with equal ids each get their blocks; an
-empty table gives an empty result; very long lines are compressed whole, in time
-linear in their length, and compared where pieces of a template stand.
+A text's candidate blocks are its runs of lines between blank ones that hold a license
+cue, so a notice may be wrapped over lines, with comment marks before them. What is
+compared is compressed alone and with a template as a raw zstandard dictionary; the
+reduction is how much smaller that makes it. All templates are compared word for
+word, at every place of the block where an unchanged piece of the template stands. Of
+notices that overlap, that with most words shared, less differences, stays, the
+reduction deciding between equal ones; its differences are part of the result.
+
+Edge cases: null or empty text has no block; a line with a cue outside of all notices
+is returned with license null, so nothing that looks like a license is lost; equal
+lines in a text are each returned; rows with equal ids each get their blocks; an
+empty table gives an empty result; very long lines are searched in time linear in
+their length.
 """
 
 from __future__ import annotations
@@ -46,7 +47,9 @@ TEMPLATES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
     "LicenseRef-All-Rights-Reserved": ["All rights reserved."],
 }
-CUE = r"(?i)licen[cs]|copyright|©|rights reserved|creative commons|\bcc[ -]by\b|\bcc0\b|public domain|permission is hereby|redistribution and use"
+MARKS = "#*/;%>|-"  # stand before the lines of a comment
+GAP = rf"[ \t\r\n{MARKS}]+"
+CUE = rf"(?i)licen[cs]|copyright|©|rights{GAP}reserved|creative{GAP}commons|\bcc{GAP}by\b|\bcc0\b|public{GAP}domain|permission{GAP}is{GAP}hereby|redistribution{GAP}and{GAP}use"
 WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 
 
@@ -57,6 +60,19 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.translate(LOWER))
 
 
+def blocks(text: str) -> Iterator[tuple[int, str]]:
+    """(number of its first line, block): runs of lines between blank ones, or ones of comment marks only."""
+    run: list[str] = []
+    for n, line in enumerate(text.split("\n"), 1):
+        if line.strip().strip(MARKS + " \t"):
+            run.append(line)
+        elif run:
+            yield n - len(run), "\n".join(run)
+            run = []
+    if run:
+        yield n + 1 - len(run), "\n".join(run)
+
+
 class Scanner:
     def __init__(self, templates: dict[str, list[str]], level: int = 3):
         self.templates = [(name, t, words_of(t)) for name, own in templates.items() for t in own]
@@ -212,9 +228,9 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, *, id_c
         for b in common.slices(batches):
             out = []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                for n, line in enumerate(text.split("\n"), 1):
-                    if cue.search(line):
-                        out += [(doc, n + at, *found) for at, *found in made[0].notices(line, cue, most)]
+                for n, block in blocks(text):
+                    if cue.search(block):
+                        out += [(doc, n + at, *found) for at, *found in made[0].notices(block, cue, most)]
             cols = list(zip(*out, strict=True)) or [()] * 7
             kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "line", "block", "license", "reduction", "lacks", "adds"])
