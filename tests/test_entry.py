@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from textloom.functions.spans import CLAUSES
 from textloom.plans.queries import ORACLE_SQL, QUERIES
 
 
@@ -33,6 +34,53 @@ def test_query(spark, sf, sql, name):
         assert rows_of(got) == rows_of(want)
 
 
+def slow_packing(text, size=2048):
+    """Sizes of the chunks of a text: pieces added one by one; what is too long by the next delimiters, at last by characters."""
+    levels = ["。！？.!?", CLAUSES, " \t\n\r"]
+
+    def cut(part, level):
+        if level == len(levels):
+            return [part[i : i + size] for i in range(0, len(part), size)]
+        pieces, now = [], ""
+        for c in part:
+            now += c
+            if c in levels[level]:
+                pieces.append(now)
+                now = ""
+        out, run = [], ""
+        for x in [*pieces, now] if now else pieces:
+            if run and len(run) + len(x) > size:
+                out.append(run)
+                run = ""
+            run += x
+        return merged([y for x in [*out, run] if x for y in ([x] if len(x) <= size else cut(x, level + 1))], level)
+
+    def merged(parts, level):
+        """Blank parts of one long sentence go to the part before, those in front to the first with content."""
+        if level != 1 or not any(x.strip() for x in parts):
+            return parts
+        out, front = [], ""
+        for x in parts:
+            if x.strip():
+                out.append(front + x)
+                front = ""
+            elif out:
+                out[-1] += x
+            else:
+                front += x
+        return out
+
+    return [len(x) for x in cut(text, 0)]
+
+
+def test_sentence_packing_whole(spark, sf):
+    sf = sf.replace("sf0.001", "sf0.01")
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r.text}
+    got = sorted(QUERIES["sentence_packing_whole"](spark, sf).collect())
+    assert [tuple(x) for x in got] == [(d, i, n) for d in sorted(texts) for i, n in enumerate(slow_packing(texts[d]))]
+    assert {x.doc_id for x in got} > {x.doc_id for x in QUERIES["sentence_packing"](spark, sf).collect()}
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 10
     assert set(ORACLE_SQL) <= set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

@@ -195,7 +195,19 @@ def sentence_packing(spark, sf_dir):
     """Where no sentence is over size, so that the packing alone shows."""
     docs = docs_of(spark, sf_dir)
     over = F.exists(columns.split_pieces(F.col("text"), SENTENCE_DELIMITERS), lambda p: F.length(p) > 2048)
-    return chunkers.chunk(docs.where(~over), "sentence", keep=["doc_id"], size=2048).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("token_count").cast("long").alias("token_count"))
+    return _sentences_packed(docs.where(~over))
+
+
+def _sentences_packed(docs: DataFrame) -> DataFrame:
+    return chunkers.chunk(docs, "sentence", keep=["doc_id"], size=2048).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("token_count").cast("long").alias("token_count"))
+
+
+def sentence_packing_whole(spark, sf_dir):
+    """Of all documents; no SQL, tests hold it against a brute-force packer."""
+    return _sentences_packed(docs_of(spark, sf_dir))
+
+
+QUERIES["sentence_packing_whole"] = sentence_packing_whole
 
 
 @query("SELECT doc_id, true AS tiles FROM documents")
