@@ -89,8 +89,8 @@ def slow_components(texts, k, num):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize(("k", "num", "lists"), [(3, 90, (128, 256)), (3, 60, (2, 2)), (5, 80, (3, 2)), (3, 100, (2, 2))])
-def test_jaccard(spark, k, num, lists):
+@pytest.mark.parametrize(("k", "num", "limit"), [(3, 90, 512), (3, 60, 3), (5, 80, 3), (3, 100, 2)])
+def test_jaccard(spark, k, num, limit):
     rng = random.Random(k * num)
     base = [rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.randint(1, 3) for _ in range(80)]
     texts = {}
@@ -100,7 +100,7 @@ def test_jaccard(spark, k, num, lists):
             words[rng.randrange(len(words))] = rng.choice("xyz") * 4
         texts[i] = " ".join(w.upper() if rng.random() < 0.1 else w for w in words) if i % 10 else rng.choice(("", "one two", "ONE two", "three"))
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs, shingle=k, num=num, long_list=lists[0], block=lists[1]).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs, shingle=k, num=num, limit=limit).collect()}
     assert got == slow_components(texts, k, num)
 
 
@@ -123,13 +123,15 @@ def test_jaccard_awkward(awkward, empty):
         jaccard.join(empty, num=0)
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.sets(st.integers(0, 14), min_size=1), min_size=2, max_size=9), st.sampled_from([50, 75, 90]), st.booleans())
-def test_links_of_list(sets, num, two_sides):
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 14), min_size=1), min_size=2, max_size=40), st.sampled_from([50, 75, 90]), st.booleans())
+def test_links_of_list(sets, num, labelled):
     arrays = [np.array(sorted(s), np.uint64) for s in sets]
-    sides = [1 + i % 2 if two_sides else 0 for i in range(len(sets))]
-    links = jaccard.links_of(list(range(len(sets))), arrays, sides, num, 100)
-    groups = jaccard.possible_groups(list(range(len(sets))), [len(s) for s in sets], sides, [jaccard.parity(a) for a in arrays], num, 100)
+    sizes = [len(s) for s in sets]
+    labels = [i % 3 if labelled and i % 4 else None for i in range(len(sets))]
+    links = jaccard.links_of(list(range(len(sets))), sizes, arrays, labels, num, 100)
+    # all in one list, as if its token came before all that they share
+    groups = jaccard.possible_groups(sizes, sizes, [0] * len(sets), [jaccard.parity(a) for a in arrays], labels, num, 100)
 
     def joined(pairs):
         label = list(range(len(sets)))
@@ -138,9 +140,59 @@ def test_links_of_list(sets, num, two_sides):
             label = [new if x == old else x for x in label]
         return {frozenset(i for i, x in enumerate(label) if x == y) for y in label}
 
-    want = [(a, b) for a in range(len(sets)) for b in range(a) if (not two_sides or sides[a] != sides[b]) and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])]
-    assert joined(links) == joined(want)
-    assert all(any({a, b} <= set(g) for g in groups) for a, b in want)
+    known = [(a, b) for a in range(len(sets)) for b in range(a) if labels[a] is not None and labels[a] == labels[b]]
+    want = [(a, b) for a in range(len(sets)) for b in range(a) if (a, b) not in known and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])]
+    assert joined([*links, *known]) == joined([*want, *known])
+    assert all(any({a, b} <= set(g.tolist()) for g in groups) for a, b in want)
+
+
+def test_jaccard_groups_of_many(spark):
+    """Near copies far over the limit, some far from the rest, with exact copies and tokens that are in nearly all documents."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    texts = {}
+    for i in range(240):
+        words = list(base)
+        for _ in range(rng.choice((0, 1, 1, 2, 5, 8))):
+            words[rng.randrange(60)] = f"x{rng.randrange(40)}"
+        texts[i] = " ".join(words if i % 5 else base[:12] + [f"y{rng.randrange(9)}" for _ in range(rng.randint(0, 30))])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for limit in (8,):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs, shingle=2, num=80, limit=limit).collect()}
+        assert got == slow_components(texts, 2, 80)
+
+
+def test_counts_are_exact(monkeypatch):
+    """Blobs of several units and buckets give each token's document count; frequent ones are not moved."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(jaccard, "UNIT_TOKENS", 60)
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 40))) for _ in range(50)]
+    sets = [jaccard.shingle_sets([t.encode()], 2)[0] for t in texts]
+    count = defaultdict(int)
+    for s in sets:
+        for x in s.tolist():
+            count[x] += 1
+    hot = sorted(count, key=count.get)[-3:]
+
+    class Sent:
+        value = np.array(sorted(hot), np.uint64), np.full(3, jaccard.MANY + 1)
+
+    rows = pa.RecordBatch.from_arrays([pa.array(range(50), pa.int64()), pa.array(range(50), pa.int64()), pa.array(texts)], names=["place", "doc_id", "text"])
+    dealt = [r for b in jaccard.deal_tokens(2, 3, Sent)(rows.slice(i, 5) for i in range(0, 50, 5)) for r in b.to_pylist()]
+    assert len({r["unit"] for r in dealt}) > 5
+    got = defaultdict(list)
+    place = {(r["unit"], r["idx"]): r["doc_id"] for r in dealt if r["bucket"] is None}
+    for target in range(3):
+        mine = [r for r in dealt if r["target"] == target]
+        batch = pa.RecordBatch.from_pylist(mine, pa.schema(list(zip(jaccard.NAMES, jaccard.KINDS, strict=True)))) if mine else None
+        for r in (x for b in jaccard.count_tokens(iter([batch] if mine else [])) for x in b.to_pylist() if x["bucket"] is not None):
+            owners, counts = jaccard.unpack_owners(r["owners"]).tolist(), np.frombuffer(r["counts"], "<u2").tolist()
+            for o, c in zip(owners, counts, strict=True):
+                got[place[r["unit"], o]].append(c)
+    want = {i: sorted(jaccard.MANY + 1 if x in hot else count[x] for x in s.tolist() if count[x] > 1) for i, s in enumerate(sets)}
+    assert {i: sorted(x) for i, x in got.items()} == {i: x for i, x in want.items() if x}
 
 
 def test_components(spark):

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
-import time
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +17,10 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 2 << 20
 #: Text in one Arrow batch between the JVM and a Python worker.
 BATCH_BYTES = 16 << 20
+#: Rows handled at once inside a kernel, however short.
+SLICE_ROWS = 1 << 15
+#: Rows of ids that are broadcast at most; about 16 MB.
+SENT_ROWS = 1 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -45,12 +46,12 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_root(spark)}/textloom/{name}-{uuid.uuid4().hex}"
         bound_batches(spark)
+        # the shuffles of a query are deleted as it ends, so that the next table finds the room
+        spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", True)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         schema = df.schema
         df.write.parquet(f"{self.path}/{name}", compression="zstd")
-        del df  # its plan holds shuffles
-        self.free()
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:
@@ -59,16 +60,10 @@ class Workspace:
             p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
-    def free(self) -> None:
-        """Lets Spark's cleaner delete the shuffle files of finished jobs: what listeners have not yet seen still holds them."""
-        gc.collect()
-        try:
-            self.spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(5_000)
-        except Py4JJavaError:  # still busy: the next call frees them
-            pass
-        for _ in range(2):  # what the first collection lets go of, the second one finds
-            self.spark._jvm.System.gc()
-            time.sleep(0.1)
+
+def sized(ids: DataFrame) -> DataFrame:
+    """A written table of one number a row: broadcast up to SENT_ROWS, else left for a shuffled join."""
+    return F.broadcast(ids) if ids.count() <= SENT_ROWS else ids
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,7 +94,7 @@ def slices(batches: Iterable[pa.RecordBatch], by: str = "text", limit: int = SLI
         ends, at = np.cumsum(sizes), 0
         while at < batch.num_rows:
             base = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
+            to = min(at + SLICE_ROWS, max(at + 1, int(np.searchsorted(ends, base + limit, side="right"))))
             yield batch.slice(at, to - at)
             at = to
 

@@ -1,39 +1,54 @@
 """Operator 8, n-gram Jaccard join with set-relation skipping.
 
 A document's set is its distinct `shingle`-word shingles in lower case (A-Z). Equal
-sets are one from the start. Any two sets that are alike enough share a token among
-the first n - ceil(threshold * n) + 1 of both, in an order common to all; rare tokens
-come first in it, by a fixed-size count of all tokens. The lists of these tokens are
-the index. Index-level skipping: members of a list whose sizes, or whose positions
-in it, leave too little for an overlap are not paired; a list that is too long for
-one task is cut into blocks by size, and blocks too far apart are skipped. Equal
-lists are looked at once. Answer-level skipping: in a list, a set's overlaps are
-computed against the others still undecided; for a set that differs from it in d
-tokens the answers follow within d of those, so that most need no computing, and
-sets that are already in one component are not compared.
-
-Before any set is moved, members of a list are held against each other by parity
-bitmaps of about a bit for each token: the bits in which two differ are at most the
-tokens in which the sets differ, so what this drops can't be linked.
-
-Links leave a task as a spanning forest, so a group of copies makes as many rows as
-it has members. Components are joined by stars over tables; nothing but the token
-counts (a fixed size) and row counts comes to the driver.
+sets are one from the start. Tokens have one order for all: first those of a single
+set, then by the number of documents they are in, counted exactly. Two sets alike
+enough share a token among the first n - ceil(threshold * n) + 1 of both; as rare
+tokens come first, few sets have any token there that another set has too, and only
+these tokens are the index.
+
+Counting moves each token once, as 48 bits in a blob for each pair of a task and a
+bucket; what comes back is only the tokens of several documents, which are all that
+overlaps can consist of. Tokens so frequent that they would swell a bucket (found in
+a sample of bounded size) are not moved at all and come last in the order.
+
+Index-level skipping: a list is sorted by size and position and compared block by
+block; blocks whose sizes, or what their positions leave, are too little for an
+overlap are skipped whole. What remains is held against each other by parity bitmaps
+of two bits for each token: the bits in which two differ are at most the tokens in
+which the sets differ, so what this drops can't be linked. Sets that may be linked,
+over all lists, form families; a set moves once, to its family. Answer-level
+skipping: in a family, a set's overlaps are computed against the others still
+undecided; for a set that differs from it in d tokens the answers follow within d of
+those, and sets already in one component are not compared.
+
+Lists and families over `limit` members are cut into blocks, each with the member
+that has most in common with others. Members of one block that find no link to the
+largest component of their list are compared with its other blocks; the rest needs
+no comparison, so a group of copies costs its size, not its square.
+
+Links leave a task as stars, so a group of copies makes as many rows as it has
+members. Larger components are joined over tables; nothing but the frequent tokens
+(`HOT_TOKENS` at most) and row counts comes to the driver.
 
 Edge cases: null or blank text has the empty set, which is linked with nothing;
 fewer words than a shingle are one shingle of their own; rows with equal ids each
-get a row; a component of null ids alone has the component id null; an empty table
-gives an empty result. Sets are told apart by 64-bit hashes.
+get a row; a component of null ids alone has the component id null; very long texts
+are whole sets like any other; ties in size or frequency go by token; other columns
+of the input are not read, so none can clash; an empty table gives an empty result.
+Sets are told apart by 64-bit hashes, tokens by 48 bits and their bucket.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,8 +57,16 @@ from textloom.llm.common import Workspace
 from textloom.llm.components import components
 from textloom.llm.fingerprint import mix
 
-COUNTERS, CHUNK = 1 << 18, 1 << 12
 FIRST = -(1 << 63)
+#: Documents looked at for frequent tokens; a token in HOT_LEAST of them is one, the HOT_TOKENS most frequent at most.
+HOT_SAMPLE, HOT_LEAST, HOT_TOKENS = 8192, 16, 1 << 16
+#: Text whose tokens are counted in one task, and tokens of one blob unit.
+BUCKET_BYTES, UNIT_TOKENS, UNIT_DOCS = 16 << 20, 2 << 20, 1 << 16
+#: Document counts are kept to 16 bits; frequent tokens come after all others.
+MANY = 60_000
+#: Rows of a list that are skipped or compared together.
+RUN = 32
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,7 +80,7 @@ def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     at = begins[text] + np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
     h = np.zeros(len(at), np.uint64)
     for j in range(k):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + flat[at + j]
+        h = h * MULTIPLIER + flat[at + j]
     h = mix(h)
     short = np.flatnonzero((sizes > 0) & (sizes < k))
     if len(short):
@@ -75,44 +98,134 @@ def set_key(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
 
 
-def signature(k: int):
-    """(doc_id, key, n, counts): a row for each document; at the end of a partition its token counts, in chunks whose number is in n."""
+def prefix_length(n, num: int, den: int):
+    """Works on numbers and on arrays."""
+    return n - -(-num * n // den) + 1
+
+
+def overlap_needed(a, b, num: int, den: int):
+    """The least intersection with which sizes a and b reach num/den; numbers or arrays."""
+    return -(-num * (a + b) // (num + den))
+
+
+# exact document counts
+
+
+def pack_owners(owners: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(owners, prepend=0).astype("<u2").tobytes())
+
+
+def unpack_owners(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), "<u2").astype(np.int64))
+
+
+def pack_tokens(tokens: np.ndarray) -> bytes:
+    """The low 48 bits of each."""
+    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpack_tokens(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view("<u8").astype(np.uint64)
+
+
+#: bucket is null in the row of a document, -1 in a blob of frequent tokens; idx is the document's place in its unit.
+ROWS = "target int, bucket int, unit long, idx int, place long, doc_id long, key long, n long, tokens binary, owners binary, counts binary"
+NAMES = [x.split()[0] for x in ROWS.split(", ")]
+KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+
+
+def row_batch(rows: int, /, **columns) -> pa.RecordBatch:
+    arrays = [columns[c] if isinstance(columns.get(c), pa.Array) else pa.nulls(rows, t) if c not in columns else pa.array(columns[c], t) for c, t in zip(NAMES, KINDS, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, names=NAMES)
+
+
+def deal_tokens(k: int, buckets: int, hot):
+    """A row for each document; for each unit of documents a blob of tokens for each bucket, and one of frequent tokens with their ranks."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, np.int64)
-        names = ["place", "doc_id", "key", "n", "counts"]
+        context = TaskContext.get()
+        task, serial = (context.partitionId() if context else 0), 0
+        frequent, places = hot.value
+        held: list[np.ndarray] = []
+        owners: list[np.ndarray] = []
+        docs = size = 0
+
+        def unit() -> int:
+            return (task << 24) + serial
+
+        def target() -> int:
+            return (task * 7919 + serial) % buckets
+
+        def blobs() -> Iterator[pa.RecordBatch]:
+            tokens, own = np.concatenate(held), np.concatenate(owners)
+            if len(frequent) and len(tokens):
+                at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
+                is_hot = frequent[at] == tokens
+                if is_hot.any():
+                    yield row_batch(1, target=[target()], bucket=[-1], unit=[unit()], tokens=[tokens[is_hot].tobytes()], owners=[pack_owners(own[is_hot])], counts=[places[at[is_hot]].astype("<u2").tobytes()])
+                    tokens, own = tokens[~is_hot], own[~is_hot]
+            bucket = (((tokens >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32 if buckets > 1 << 16 else np.uint16)
+            order = np.argsort(bucket, kind="stable")
+            tokens, own = tokens[order], own[order]
+            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            used = np.flatnonzero(np.diff(edges)).tolist()
+            for some in (used[i : i + 256] for i in range(0, len(used), 256)):
+                yield row_batch(len(some), target=some, bucket=some, unit=[unit()] * len(some), tokens=[pack_tokens(tokens[edges[i] : edges[i + 1]]) for i in some], owners=[pack_owners(own[edges[i] : edges[i + 1]]) for i in some])
+
         for b in common.slices(batches):
             tokens, bounds = shingle_sets(common.binaries(b.column("text")), k)
-            counts += np.bincount((tokens >> np.uint64(46)).astype(np.int64), minlength=COUNTERS)
+            if held and (size + len(tokens) > UNIT_TOKENS or docs + b.num_rows > UNIT_DOCS):
+                yield from blobs()
+                held, owners, docs, size, serial = [], [], 0, 0, serial + 1
             keys = [set_key(tokens[s:e]) if e > s else None for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("place"), b.column("doc_id"), pa.array(keys, pa.int64()), pa.array(np.diff(bounds)), pa.nulls(b.num_rows, pa.binary())], names=names)
-        used = [i for i in range(COUNTERS // CHUNK) if counts[i * CHUNK : (i + 1) * CHUNK].any()]
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(used), pa.int64())] * 3 + [pa.array(used, pa.int64()), pa.array([counts[i * CHUNK : (i + 1) * CHUNK].tobytes() for i in used], pa.binary())], names=names)
+            sizes = np.diff(bounds)
+            n = b.num_rows
+            yield row_batch(n, target=[target()] * n, unit=[unit()] * n, idx=np.arange(docs, docs + n, dtype=np.int32), place=b.column("place"), doc_id=b.column("doc_id"), key=keys, n=sizes.astype(np.int64))
+            held.append(tokens)
+            owners.append(np.repeat(np.arange(docs, docs + n), sizes))
+            docs, size = docs + n, size + len(tokens)
+        if held:
+            yield from blobs()
 
     return kernel
 
 
-def add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
+def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In the task of a bucket: its blobs come back with the document count of each token, without those in one document; other rows pass."""
+    blobs: dict[int, list[tuple[int, bytes, bytes]]] = {}
     for b in batches:
-        for i, raw in zip(b.column("n").to_pylist(), b.column("counts").to_pylist(), strict=True):
-            sums[i] = sums.get(i, 0) + np.frombuffer(raw, np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["n", "counts"])
-
-
-def ranks(counts: np.ndarray) -> np.ndarray:
-    """A class for each counter: 0 up to twice the mean, then one more for each doubling."""
-    mean = max(counts.mean(), 1.0)
-    return np.maximum(np.floor(np.log2(np.maximum(counts, 1) / mean)), 0).astype(np.int64)
-
-
-def prefix_length(n: int, num: int, den: int) -> int:
-    return n - -(-num * n // den) + 1
+        bucket = np.asarray(pa.compute.fill_null(b.column("bucket"), -1))
+        passing = bucket < 0
+        if passing.any():
+            yield b.filter(pa.array(passing))
+        own = b.filter(pa.array(~passing))
+        for i, *blob in zip(*(own.column(c).to_pylist() for c in ("bucket", "unit", "tokens", "owners")), strict=True):
+            blobs.setdefault(i, []).append(tuple(blob))
+    for i in list(blobs):
+        units = blobs.pop(i)
+        tokens = np.concatenate([unpack_tokens(t) for _, t, _ in units])
+        sizes = [len(t) // 6 for _, t, _ in units]
+        order = np.argsort(tokens)
+        ranked = tokens[order]
+        edges = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1], [True])))
+        counts = np.empty(len(tokens), np.int64)
+        counts[order] = np.repeat(np.diff(edges), np.diff(edges))
+        del order, ranked
+        ids = np.uint64(i * int(MULTIPLIER) % (1 << 64)) ^ tokens
+        at = 0
+        for (unit, _, owners), n in zip(units, sizes, strict=True):
+            several = counts[at : at + n] > 1
+            if several.any():
+                c = np.minimum(counts[at : at + n][several], MANY).astype("<u2")
+                yield row_batch(1, bucket=[i], unit=[unit], tokens=[ids[at : at + n][several].tobytes()], owners=[pack_owners(unpack_owners(owners)[several])], counts=[c.tobytes()])
+            at += n
 
 
 def parity(tokens: np.ndarray) -> bytes:
-    """A bit for each residue of the tokens, flipped by each token that has it; a power of two, at least 64 and the set's size."""
-    width = max(64, 1 << (len(tokens) - 1).bit_length())
+    """Two bits or more for each token, flipped by each token that has it; a power of two, 64 at least."""
+    width = max(64, 2 << (len(tokens) - 1).bit_length())
     odd = np.bincount((tokens & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -125,48 +238,128 @@ def folded(bits: bytes, size: int) -> np.ndarray:
     return out
 
 
-def possible_groups(keys: list[int], sizes: list[int], sides: list[int], bits: list[bytes], num: int, den: int) -> list[list[int]]:
-    """Positions of members that may be linked, by component of the pairs that sizes and bitmaps leave."""
-    n = np.array(sizes, np.int64)
-    side = np.array(sides)
-    width = min(map(len, bits))
-    table = np.stack([folded(b, width) for b in bits])
-    label = np.arange(len(keys))
-    across = side.min() != side.max()
-    for i in range(len(keys) - 1):
-        rest = slice(i + 1, None)
-        differ = np.bitwise_count(table[rest] ^ table[i]).sum(axis=1, dtype=np.int64)
-        both = n[rest] + n[i]
-        ok = (both - differ) // 2 >= -(-num * both // (num + den))
-        ok &= (den * n[rest] >= num * n[i]) & (den * n[i] >= num * n[rest])
-        if across:
-            ok &= side[rest] != side[i]
-        for j in (np.flatnonzero(ok) + i + 1).tolist():
-            if label[j] != label[i]:
-                label[label == label[j]] = label[i]
-    order = np.argsort(label, kind="stable")
-    edges = np.flatnonzero(np.diff(label[order])) + 1
-    return [g.tolist() for g in np.split(order, edges) if len(g) > 1]
+SETS = "key long, n long, m long, prefix array<long>, shared binary, bits binary"
+
+
+def index_sets(num: int, den: int):
+    """In the order of units: for each first document of a set that has a shared token in its prefix, those tokens, all its shared tokens, and their bitmap.
+
+    A token is shared if more documents have it than there are copies of the set. m is the number of shared tokens.
+    """
+
+    def made(rows: list[tuple[int, int, int, int]], blobs: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+        names = ["key", "n", "m", "prefix", "shared", "bits"]
+        out: list[tuple] = []
+        if rows and blobs:
+            place = np.full(UNIT_DOCS, -1, np.int64)
+            idx, keys, n, copies = (np.array(x) for x in zip(*rows, strict=True))
+            place[idx] = np.arange(len(rows))
+            token = np.concatenate([np.frombuffer(t, np.uint64) for t, _, _ in blobs])
+            own = place[np.concatenate([unpack_owners(o) for _, o, _ in blobs])]
+            count = np.concatenate([np.frombuffer(c, "<u2") for _, _, c in blobs]).astype(np.int64)
+            keep = own >= 0
+            token, own, count = token[keep], own[keep], count[keep]
+            keep = (count > copies[own]) | (count >= MANY)
+            token, own, count = token[keep], own[keep], count[keep]
+            shared = np.bincount(own, minlength=len(rows))
+            left = prefix_length(n, num, den) - (n - shared)  # prefix tokens that are shared
+            keep = left[own] > 0
+            token, own, count = token[keep], own[keep], count[keep]
+            order = np.lexsort((token, count, own))
+            token, own = token[order], own[order]
+            edges = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1], [True]))) if len(own) else np.zeros(1, np.int64)
+            for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                i = int(own[s])
+                mine = np.sort(token[s:e])
+                out.append((int(keys[i]), int(n[i]), e - s, token[s : s + int(left[i])].view(np.int64), mine.tobytes(), parity(mine)))
+        columns = list(zip(*out, strict=True)) or [()] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows, blobs = None, [], []
+        for b in batches:
+            for unit, idx, key, n, copies, *blob in zip(*(b.column(c).to_pylist() for c in ("unit", "idx", "key", "n", "copies", "tokens", "owners", "counts")), strict=True):
+                if unit != at:
+                    yield made(rows, blobs)
+                    at, rows, blobs = unit, [], []
+                if key is None:
+                    blobs.append(tuple(blob))
+                else:
+                    rows.append((idx, key, n, copies))
+        yield made(rows, blobs)
 
-def overlap_needed(a: int, b: int, num: int, den: int) -> int:
-    """The least intersection with which sizes a and b reach num/den."""
-    return -(-num * (a + b) // (num + den))
+    return kernel
 
 
-def members_that_pair(members: list[tuple[int, int, int]], num: int, den: int) -> Iterator[list[int]]:
-    """Runs of (size, key, position), by size, in which each is near enough in size to its neighbour; of two, also by position."""
-    run: list[tuple[int, int, int]] = []
-    for m in [*sorted(members), (1 << 60, 0, 0)]:
-        if run and den * run[-1][0] < num * m[0]:
-            if len(run) == 2:
-                (a, _, p), (b, _, q) = run
-                if min(p, q) + 1 + min(a - p - 1, b - q - 1) < overlap_needed(a, b, num, den):
-                    run = []
-            if len(run) > 1:
-                yield [x[1] for x in run]
-            run = []
-        run.append(m)
+# lists and families: what may be linked, and what is
+
+
+def groups_of(ok: np.ndarray) -> list[np.ndarray]:
+    """Components of two or more of a symmetric matrix of pairs."""
+    out, left = [], ok.any(axis=1)
+    while left.any():
+        own = np.zeros(len(ok), bool)
+        new = own.copy()
+        new[int(left.argmax())] = True
+        while new.any():
+            own |= new
+            new = ok[new].any(axis=0) & ~own
+        out.append(np.flatnonzero(own))
+        left &= ~own
+    return out
+
+
+def told_apart(labels: list[int | None]) -> np.ndarray:
+    """Numbers for labels; each None is one of its own."""
+    seen: dict[int, int] = {}
+    return np.array([-1 - i if x is None else seen.setdefault(x, len(seen)) for i, x in enumerate(labels)], np.int64)
+
+
+def possible_groups(sizes: list[int], shared: list[int], positions: list[int], bits: list[bytes], labels: list[int | None], num: int, den: int) -> list[np.ndarray]:
+    """Positions of the members of a list that may be linked, by component of the pairs that sizes, positions and bitmaps leave.
+
+    Members with one label are known to be in one component, and are not compared.
+    A pair is met at its first common token too, where no overlap lies before it.
+    """
+    if len(sizes) == 2:
+        need = overlap_needed(*sizes, num, den)
+        if min(m - p for m, p in zip(shared, positions, strict=True)) < need or labels[0] is not None and labels[0] == labels[1]:
+            return []
+        x, y = (int.from_bytes(folded(b, min(map(len, bits))).tobytes(), "little") for b in bits)
+        return [np.arange(2)] if (sum(shared) - (x ^ y).bit_count()) // 2 >= need else []
+    n, m = np.array(sizes, np.int64), np.array(shared, np.int64)
+    left = m - np.array(positions, np.int64)
+    order = np.lexsort((-left, n))  # by size, then by position
+    n, m, left = n[order], m[order], left[order]
+    label = told_apart(labels)[order]
+    width = min(map(len, bits))
+    table = np.stack([folded(bits[i], width) for i in order.tolist()])
+    if width % 8 == 0:
+        table = table.view(np.uint64)
+    ok = np.zeros((len(n), len(n)), bool)
+    starts = range(0, len(n), RUN)
+    most = [int(left[i : i + RUN].max()) for i in starts]
+    for a, i in enumerate(starts):
+        x = slice(i, i + RUN)
+        for b in range(a, len(most)):
+            y = slice(b * RUN, b * RUN + RUN)
+            if num * n[y][0] > den * n[x][-1]:
+                break  # the sizes grow on
+            if min(most[a], most[b]) < overlap_needed(int(n[x][0]), int(n[y][0]), num, den):
+                continue
+            both = m[x][:, None] + m[y][None, :]
+            need = overlap_needed(n[x][:, None], n[y][None, :], num, den)
+            fits = np.minimum(left[x][:, None], left[y][None, :]) >= need
+            if not fits.any():
+                continue
+            differ = np.bitwise_count(table[x][:, None, :] ^ table[y][None, :, :]).sum(axis=2, dtype=np.int64)
+            fits &= (both - differ) // 2 >= need
+            fits &= label[x][:, None] != label[y][None, :]
+            ok[x, y] = fits
+            ok[y, x] = fits.T
+    np.fill_diagonal(ok, False)
+    return [order[g] for g in groups_of(ok)]
 
 
 class Overlaps:
@@ -180,7 +373,7 @@ class Overlaps:
         shared = count > 1
         columns = int(shared.sum())
         self.matrix = None
-        if columns * len(sets) <= 32 << 20:
+        if columns * len(sets) <= 16 << 20:
             place = np.cumsum(shared) - 1
             keep = shared[token]
             self.matrix = np.zeros((len(sets), columns), np.float32)
@@ -191,25 +384,24 @@ class Overlaps:
     def of(self, i: int) -> np.ndarray:
         if self.matrix is not None:
             return (self.matrix @ self.matrix[i]).astype(np.int64)
-        hit = np.isin(self.flat, self.sets[i])
-        return np.add.reduceat(hit, self.bounds[:-1]).astype(np.int64)
+        hit = np.concatenate((np.isin(self.flat, self.sets[i]), [False]))
+        out = np.add.reduceat(hit, self.bounds[:-1], dtype=np.int64)
+        return np.where(np.diff(self.bounds) > 0, out, 0)
 
 
-def links_of(keys: list[int], sets: list[np.ndarray], sides: list[int], num: int, den: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links in a list. Where both sides occur, only pairs across are asked for."""
+def links_of(keys: list[int], size: list[int], sets: list[np.ndarray], labels: list[int | None], num: int, den: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among sets of the given sizes, of which the shared tokens are given. Sets with one label are in one component already."""
     n = len(keys)
-    size = np.array([len(s) for s in sets], np.int64)
-    side = np.array(sides)
-    across = side.min() != side.max()
-    label = np.arange(n)
+    size = np.array(size, np.int64)
+    label = told_apart(labels)
     links = []
     if n == 2:
         both = len(np.intersect1d(*sets, assume_unique=True))
-        return [(keys[0], keys[1])] if den * both >= num * (int(size.sum()) - both) else []
+        return [(keys[0], keys[1])] if label[0] != label[1] and den * both >= num * (int(size.sum()) - both) else []
     overlaps = Overlaps(sets)
-    undecided = side[:, None] != side[None, :] if across else ~np.eye(n, dtype=bool)
+    undecided = label[:, None] != label[None, :]
     undecided &= (den * size[:, None] >= num * size[None, :]) & (den * size[None, :] >= num * size[:, None])
-    need = -(-num * (size[:, None] + size[None, :]) // (num + den))
+    need = overlap_needed(size[:, None], size[None, :], num, den)
     for i in np.argsort(-undecided.sum(axis=1), kind="stable").tolist():
         if not (undecided[i] & (label != label[i])).any():
             continue
@@ -234,154 +426,158 @@ def links_of(keys: list[int], sets: list[np.ndarray], sides: list[int], num: int
     return links
 
 
-def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, num: int = 90, den: int = 100, long_list: int = 128, block: int = 256) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row: two documents are linked when den * intersection >= num * union."""
-    if not 0 < num <= den:
-        raise ValueError("the threshold must be above 0 and at most 1")
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ws = Workspace(spark, "jaccard")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST)).alias("place"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-
-    both = ws.write(rows.mapInArrow(signature(shingle), "place long, doc_id long, key long, n long, counts binary"), "signatures")
-    signatures = both.where("counts IS NULL").drop("counts")
-    chunks = both.where("counts IS NOT NULL").select("n", "counts").repartition(min(parts, COUNTERS // CHUNK), "n").mapInArrow(add_counts, "n long, counts binary").collect()
-    counts = np.zeros(COUNTERS, np.int64)  # COUNTERS numbers, whatever the corpus
-    for r in chunks:
-        counts[r["n"] * CHUNK : (r["n"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.int64)
-    order = spark.sparkContext.broadcast(ranks(counts))
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.slices(batches):
-            tokens, bounds = shingle_sets(common.binaries(b.column("text")), shingle)
-            rank = order.value[(tokens >> np.uint64(46)).astype(np.int64)]
-            keys, sizes, firsts, lengths, bits = [], [], [], [], []
-            for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                if e > s:
-                    own = tokens[s:e]
-                    p = prefix_length(e - s, num, den)
-                    keys.append(set_key(own))
-                    sizes.append(e - s)
-                    firsts.append(own[np.argsort(rank[s:e], kind="stable")[:p]])
-                    lengths.append(p)
-                    bits.append(parity(own))
-            flat = np.concatenate(firsts).view(np.int64) if firsts else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), common.lists(flat, lengths, pa.int64()), pa.array(bits, pa.binary())], names=["key", "n", "tokens", "bits"])
-
-    # one row for each distinct set
-    first = ws.write(rows.select("text").mapInArrow(prefixes, "key long, n long, tokens array<long>, bits binary").groupBy("key").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("bits").alias("bits")), "prefixes")
-    entries = first.select("key", "n", F.posexplode("tokens").alias("pos", "token"))
-    lengths = ws.write(entries.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("least"), F.max("n").alias("most")).where("members > 1"), "lengths")
-    index = ws.write(entries.join(lengths.select("token", "members"), "token"), "index")
-    ws.drop("lengths")
-
-    def short_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [own for m in b.column("list").to_pylist() for own in members_that_pair([(x["n"], x["key"], x["pos"]) for x in m], num, den)]
-            found = [sorted(own) for own in found]
-            ids = [xxhash.xxh3_64_intdigest(np.array(own, np.int64).tobytes()) - (1 << 63) for own in found]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["list", "members"])
-
-    short = index.where(F.col("members") <= long_list).groupBy("token").agg(F.collect_list(F.struct("n", "key", "pos")).alias("list")).select("list").mapInArrow(short_lists, "list long, members array<long>")
-    short = short.groupBy("list").agg(F.first("members").alias("members")).select("list", F.explode("members").alias("key"), F.lit(0).alias("side"))
-
-    # long lists: blocks by class of size, so that only equal and neighbouring classes can hold pairs
-    width = math.log(den / num) if num < den else 1e-9
-    blocks_of = F.floor(F.log(F.col("n").cast("double")) / F.lit(width) + F.lit(1e-9)).cast("long") if num < den else F.col("n")
-    long_ = index.where(F.col("members") > long_list).select("token", "key", "n", blocks_of.alias("class"))
-    sizes = ws.write(long_.groupBy("token", "class").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("blocks")), "classes")
-    near = sizes.select("token", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class"), F.col("class").alias("other"), F.col("blocks").alias("other_blocks"))
-    dealt = long_.join(sizes, ["token", "class"]).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks"))).drop("blocks").join(near, ["token", "class"])
-    pairs = dealt.select("token", "key", "class", "own", "other", F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1)).alias("with"))
-    swap = (F.col("class") > F.col("other")) | ((F.col("class") == F.col("other")) & (F.col("own") > F.col("with")))
-    a, b = F.struct("class", "own"), F.struct(F.col("other").alias("class"), F.col("with").alias("own"))
-    long_pairs = pairs.select(F.xxhash64("token", F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b)).alias("list"), "key", F.when((F.col("class") == F.col("other")) & (F.col("own") == F.col("with")), 0).when(swap, 2).otherwise(1).alias("side"))
-    candidates = ws.write(short.union(long_pairs), "candidates")
-
-    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own = None, {}
-
-        def ended() -> list[tuple[int, list[int], list[int]]]:
-            if len(own) < 2:
-                return []
-            keys = list(own)
-            out = []
-            for group in possible_groups(keys, *([x[c] for x in own.values()] for c in range(3)), num, den):
-                mine = sorted((keys[i], own[keys[i]][1]) for i in group)
-                out.append((xxhash.xxh3_64_intdigest(np.array(mine, np.int64).tobytes()) - (1 << 63), [x[0] for x in mine], [x[1] for x in mine]))
-            return out
-
-        def batch(rows: list[tuple[int, list[int], list[int]]]) -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True)) or [()] * 3
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.int64())), pa.array(cols[2], pa.list_(pa.int32()))], names=["list", "keys", "sides"])
-
-        for b in common.slices(batches, "bits"):
-            out: list[tuple[int, list[int], list[int]]] = []
-            for i, key, n, side, raw in zip(*(b.column(c).to_pylist() for c in ("list", "key", "n", "side", "bits")), strict=True):
-                if i != at:
-                    out += ended()
-                    at, own = i, {}
-                own[key] = n, side, raw
-            yield batch(out)
-        yield batch(ended())
+def stars(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(key, least key of its component) for each key of the pairs."""
+    root: dict[int, int] = {}
 
-    marked = candidates.join(first.select("key", "n", "bits"), "key")
-    pruned = marked.repartition(parts, "list").sortWithinPartitions("list").mapInArrow(prune, "list long, keys array<long>, sides array<int>")
-    pruned = pruned.groupBy("list").agg(F.first("keys").alias("keys"), F.first("sides").alias("sides")).select("list", F.explode(F.arrays_zip("keys", "sides")).alias("x"))
-    lists = ws.write(pruned.select("list", F.col("x.keys").alias("key"), F.col("x.sides").alias("side")), "lists")
-    ws.drop("prefixes", "index", "candidates", "classes")
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
 
-    # the sets themselves, for those in a list, from one document of each
-    holders = signatures.where("key IS NOT NULL").groupBy("key").agg(F.min("place").alias("place"))
-    wanted = ws.write(holders.join(lists.select("key").distinct(), "key"), "wanted")
+    for a, b in pairs:
+        root.setdefault(a, a)
+        root.setdefault(b, b)
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return [(x, find(x)) for x in root]
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.slices(batches):
-            tokens, bounds = shingle_sets(common.binaries(b.column("text")), shingle)
-            out = []
-            for key, s, e in zip(b.column("key").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                if e > s and set_key(tokens[s:e]) == key:
-                    out.append((key, tokens[s:e].tobytes()))
-            k, t = zip(*out, strict=True) if out else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(t, pa.binary())], names=["key", "tokens"])
 
-    held = ws.write(rows.select("place", "text").join(wanted, "place").select("key", "text").mapInArrow(sets, "key long, tokens binary"), "sets")
+def over_blocks(columns: list[str], by: str, pairs_of: Callable[..., list[tuple[int, int]]]):
+    """For rows sorted by (list, block): (a, b) of each member of a group and its least. pairs_of: key and the given columns as lists -> pairs of keys."""
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = None, {}
 
         def ended() -> list[tuple[int, int]]:
-            return links_of(list(own), [x[0] for x in own.values()], [x[1] for x in own.values()], num, den) if len(own) > 1 else []
+            return stars(pairs_of(list(own), *map(list, zip(*own.values(), strict=True)))) if len(own) > 1 else []
 
-        def batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
-            a, b = zip(*links, strict=True) if links else ((), ())
+        def batch(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+            a, b = zip(*rows, strict=True) if rows else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-        for b in common.slices(batches, "tokens"):
+        for b in common.slices(batches, by):
             out: list[tuple[int, int]] = []
-            for i, key, side, raw in zip(*(b.column(c).to_pylist() for c in ("list", "key", "side", "tokens")), strict=True):
-                if i != at:
+            for i, block, key, *values in zip(*(b.column(c).to_pylist() for c in ("list", "block", "key", *columns)), strict=True):
+                if (i, block) != at:
                     out += ended()
-                    at, own = i, {}
-                own[key] = np.frombuffer(raw, np.uint64), side
+                    at, own = (i, block), {}
+                own[key] = values
             yield batch(out)
         yield batch(ended())
 
-    links = ws.write(lists.join(held, "key").repartition(parts, "list").sortWithinPartitions("list").mapInArrow(verify, "a long, b long"), "links")
-    ws.drop("lists", "sets", "wanted")
-    roots = components(ws, links)
-    ids = signatures.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least"))
-    named = ids.join(roots, ids["key"] == roots["node"], "left").select("key", F.coalesce("root", "key").alias("root"), "least")
-    named = ws.write(named, "named")
+    return kernel
+
+
+def closure(ws: Workspace, name: str, members: DataFrame, columns: list[str], by: str, pairs_of: Callable[..., list[tuple[int, int]]], limit: int, parts: int) -> DataFrame:
+    """(node, root): components of the pairs that pairs_of finds in the lists of members (list, key, extra, and the columns).
+
+    Lists over `limit` are cut into blocks by a hash of the key, each with the list's
+    hub, the member with the least `extra` (tokens that no other set has). Where a
+    list is then not in one component, members outside its largest one meet all
+    blocks of it.
+    """
+    spark = ws.spark
+    long_ = ws.write(members.groupBy("list").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > limit).select("list", F.ceil(F.col("size") / limit).alias("blocks")), f"{name}-long")
+    kernel = over_blocks([*columns, "label"], by, pairs_of)
+
+    def run(rows: DataFrame) -> DataFrame:
+        own = rows.select("list", "block", "key", *columns, "label")
+        return own.repartition(parts, "list", "block").sortWithinPartitions("list", "block").mapInArrow(kernel, "a long, b long").distinct()
+
+    block = F.pmod(F.xxhash64("key", "list"), F.col("blocks"))
+    unlabelled = F.lit(None).cast("long")
+    if not long_.head(1):
+        return components(ws, ws.write(run(members.withColumns({"block": F.lit(0).cast("long"), "label": unlabelled})), f"{name}-pairs"), f"{name}-parts")
+    short = members.join(long_, "list", "left_anti").select("list", F.lit(0).cast("long").alias("block"), "key", *columns)
+    cut = members.join(long_, "list").withColumn("block", block)
+    hubs = members.select("list", "key", "extra").join(long_, "list").groupBy("list", "blocks").agg(F.min(F.struct("extra", "key")).alias("hub")).select("list", "blocks", F.col("hub.key").alias("key"))
+    hubs = ws.write(hubs, f"{name}-hubs")
+    seeds = members.join(hubs, ["list", "key"]).select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "key", *columns)
+    rows = short.union(cut.select("list", "block", "key", *columns)).union(seeds)
+    pairs = ws.write(run(rows.withColumn("label", unlabelled)), f"{name}-pairs")
+    found = ws.write(components(ws, pairs, f"{name}-within"), f"{name}-found")
+
+    # where members of a long list lie outside its largest component
+    placed = ws.write(members.select("list", "key").join(long_, "list").join(found.withColumnRenamed("node", "key"), "key", "left").select("list", "key", "blocks", F.coalesce("root", "key").alias("label")), f"{name}-placed")
+    parted = placed.groupBy("list", "label").agg(F.count(F.lit(1)).alias("size"))
+    largest = parted.groupBy("list").agg(F.max(F.struct("size", "label")).alias("x"), F.sum("size").alias("all")).where(F.col("all") > F.col("x.size"))
+    largest = ws.write(largest.select("list", F.col("x.label").alias("main"), F.ceil((F.col("all") - F.col("x.size")) / limit).alias("others")), f"{name}-largest")
+    if not largest.head(1):
+        return found
+    marked = placed.join(largest, "list").withColumns({"own": block, "other": F.when(F.col("label") != F.col("main"), F.pmod(F.xxhash64("list", "key"), F.col("others")))})
+    # a block here: a part of those outside, with a block of the list
+    everywhere = marked.select("list", "key", "label", "others", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)).alias("with")).select("list", "key", "label", (F.col("own") * F.col("others") + F.col("with")).alias("block"))
+    outside = marked.where("other IS NOT NULL").select("list", "key", "label", "others", "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("with")).select("list", "key", "label", (F.col("with") * F.col("others") + F.col("other")).alias("block"))
+    again = everywhere.union(outside).distinct().join(members.select("list", "key", *columns), ["list", "key"])
+    more = ws.write(run(again), f"{name}-more")
+    return components(ws, ws.write(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), f"{name}-all"), f"{name}-whole")
+
+
+def frequent_tokens(rows: DataFrame, docs: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ascending tokens, their places in the order): those frequent in a sample of HOT_SAMPLE documents."""
+    share = int(min(1.0, HOT_SAMPLE / max(docs, 1)) * (1 << 30))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.slices(batches):
+            value, n = np.unique(shingle_sets(common.binaries(b.column("text")), shingle)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n, pa.int64())], names=["token", "n"])
+
+    sample = rows.where(F.pmod(F.xxhash64("place", "text"), F.lit(1 << 30)) < share).select("text")
+    counts = sample.mapInArrow(kernel, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_LEAST)
+    found = counts.orderBy(F.desc("n"), "token").limit(HOT_TOKENS).toPandas()  # HOT_TOKENS at most
+    tokens, n = found["token"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.float64)
+    order = np.argsort(tokens)
+    return tokens[order], (MANY + 1 + np.floor(16 * np.log2(np.maximum(n[order], 1)))).astype(np.int64)
+
+
+def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, num: int = 90, den: int = 100, limit: int = 512) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row: two documents are linked when den * intersection >= num * union."""
+    if not 0 < num <= den:
+        raise ValueError("the threshold must be above 0 and at most 1")
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ws = Workspace(spark, "jaccard")
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST)).alias("place"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    buckets = max(parts, (total["bytes"] or 0) // BUCKET_BYTES + 1)
+    hot = spark.sparkContext.broadcast(frequent_tokens(rows, total["n"], shingle))  # HOT_TOKENS at most
+
+    dealt = rows.mapInArrow(deal_tokens(shingle, buckets, hot), ROWS).repartitionById(buckets, "target")
+    counted = ws.write(dealt.mapInArrow(count_tokens, ROWS).drop("target"), "counted")
+    documents = ws.write(counted.where("bucket IS NULL").select("doc_id", "key", "n", "unit", "idx"), "documents")
+    once = documents.where("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("unit", "idx")).alias("x"), F.first("n").alias("n"))
+    once = once.select(F.col("x.unit").alias("unit"), F.col("x.idx").alias("idx"), "key", "n", "copies", *(F.lit(None).cast("binary").alias(c) for c in ("tokens", "owners", "counts")))
+    blobs = counted.where("bucket IS NOT NULL").select("unit", F.lit(None).cast("int").alias("idx"), F.lit(None).cast("long").alias("key"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("copies"), "tokens", "owners", "counts")
+    sets = ws.write(once.union(blobs).repartition(buckets, "unit").sortWithinPartitions("unit").mapInArrow(index_sets(num, den), SETS), "sets")
+    ws.drop("counted")
+
+    def may_link(keys: list[int], n: list[int], m: list[int], pos: list[int], bits: list[bytes], labels: list[int | None]) -> list[tuple[int, int]]:
+        return [(keys[g[0]], keys[i]) for g in possible_groups(n, m, pos, bits, labels, num, den) for i in g[1:].tolist()]
+
+    def link(keys: list[int], n: list[int], shared: list[bytes], labels: list[int | None]) -> list[tuple[int, int]]:
+        return links_of(keys, n, [np.frombuffer(x, np.uint64) for x in shared], labels, num, den)
+
+    entries = sets.select("key", "n", "m", "bits", (F.col("n") - F.col("m")).alias("extra"), F.posexplode("prefix").alias("pos", "list"))
+    families = ws.write(closure(ws, "lists", entries, ["n", "m", "pos", "bits"], "bits", may_link, limit, parts), "families")
+    joined = sets.select("key", "n", (F.col("n") - F.col("m")).alias("extra"), "shared").join(families.select(F.col("node").alias("key"), F.col("root").alias("list")), "key")
+    members = ws.write(joined, "members")
+    ws.drop("sets", "families")
+    roots = closure(ws, "families", members, ["n", "shared"], "shared", link, limit, parts)
+    ids = documents.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least"))
+    named = ws.write(ids.join(roots, ids["key"] == roots["node"], "left").select("key", F.coalesce("root", "key").alias("root"), "least"), "named")
     of_root = ws.write(named.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
     by_key = ws.write(named.join(of_root, "root").select("key", "component_id"), "keys")
-    return signatures.join(by_key, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return documents.join(by_key, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs without the documents of a component but that with its least id; documents without words stay."""
-    verdict = join(docs, **options).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(verdict, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    """docs without the documents of a component but that with its least id; documents without words stay, and so do all rows of an id of which one row stays."""
+    verdict = join(docs, **options).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    ws = Workspace(docs.sparkSession, "keep-one")
+    gone = ws.write(verdict.where("NOT stays").select("doc_id"), "gone")
+    return docs.join(common.sized(gone), "doc_id", "left_anti").select(docs.columns)
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
