@@ -61,7 +61,7 @@ FIRST = -(1 << 63)
 #: Documents looked at for frequent tokens; a token in HOT_LEAST of them is one, the HOT_TOKENS most frequent at most.
 HOT_SAMPLE, HOT_LEAST, HOT_TOKENS = 8192, 16, 1 << 16
 #: Text whose tokens are counted in one task, and tokens of one blob unit.
-BUCKET_BYTES, UNIT_TOKENS, UNIT_DOCS = 16 << 20, 2 << 20, 1 << 16
+BUCKET_BYTES, UNIT_TOKENS, UNIT_DOCS = 12 << 20, 1 << 20, 1 << 16
 #: Document counts are kept to 16 bits; frequent tokens come after all others.
 MANY = 60_000
 #: Rows of a list that are skipped or compared together.
@@ -182,7 +182,7 @@ def deal_tokens(k: int, buckets: int, hot):
             keys = [set_key(tokens[s:e]) if e > s else None for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             sizes = np.diff(bounds)
             n = b.num_rows
-            yield row_batch(n, target=[target()] * n, unit=[unit()] * n, idx=np.arange(docs, docs + n, dtype=np.int32), place=b.column("place"), doc_id=b.column("doc_id"), key=keys, n=sizes.astype(np.int64))
+            yield row_batch(n, target=(target() + np.arange(n, dtype=np.int32)) % buckets, unit=[unit()] * n, idx=np.arange(docs, docs + n, dtype=np.int32), place=b.column("place"), doc_id=b.column("doc_id"), key=keys, n=sizes.astype(np.int64))
             held.append(tokens)
             owners.append(np.repeat(np.arange(docs, docs + n), sizes))
             docs, size = docs + n, size + len(tokens)
