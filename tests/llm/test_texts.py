@@ -216,10 +216,43 @@ def test_language(spark, sf, awkward, empty):
 
 
 def test_bloom_filter_holds_its_grams():
-    h, _, _ = language.grams_of(["some words of a language"])
-    f = language.Filters.build(["x", "y"], h, np.zeros(len(h), int), 1 << 10)
-    a, b = language.Filters.places(h, 1 << 10)
-    assert ((f.slots[a] & f.slots[b] & 1) == 1).all()
+    names = [f"l{i}" for i in range(20)]
+    table = language.Filters.empty(names, 1 << 10)
+    texts = [f"some words of language {chr(97 + i) * 5}" for i in range(20)]
+    for i, t in enumerate(texts):
+        language.Filters.add(table, language.grams_of([t])[0], i)
+    f = language.Filters(names, table)
+    for i, t in enumerate(texts):
+        a, b = language.Filters.places(language.grams_of([t])[0], 1 << 10)
+        assert f.holds(table[:, a] & table[:, b], i).all()
+
+
+def slow_grams(text):
+    """All n-grams of letters in lower case, with one space for a run of anything else."""
+    letters = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in f" {text} ")
+    one = re.sub(" +", " ", letters)
+    return [one[i : i + n] for n in language.SIZES for i in range(len(one) - n + 1)]
+
+
+def test_language_equals_sets(documents, spark, sf):
+    """With a filter large enough for no false positive, languages and coverage are those of plain sets of n-grams."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    filters = language.learn(docs, slots=1 << 24)
+    labelled = documents[documents.lang.notna() & documents.text.notna()]
+    known = {k: {g for t in own.text for g in slow_grams(t)} for k, own in labelled.groupby("lang")}
+    assert filters.languages == sorted(known)
+    texts = documents.text.tolist()
+    got_lang, _, cover = filters.judge(texts)
+    for t, lang, c in zip(texts, got_lang, cover.tolist(), strict=True):
+        grams = slow_grams(t)
+        shares = {k: sum(g in s for g in grams) / len(grams) for k, s in known.items()}
+        assert abs(max(shares.values()) - c) < 0.01 and shares[lang] > max(shares.values()) - 0.01
+
+
+def test_language_clashing(awkward):
+    filters = language.learn(awkward)
+    got = language.predict(awkward, filters)
+    assert got.columns == [*(c for c in awkward.columns if c != "score"), "lang_pred", "score", "coverage"] and got.schema["score"].dataType.simpleString() == "double"
 
 
 def test_licenses(spark, sf, awkward, empty):

@@ -1,19 +1,22 @@
 """Operator 7, language identification by language-bitmask n-gram filters.
 
-The filters of all languages are one bit-sliced Bloom filter: a slot is a mask
-with a bit for each language, and the masks at an n-gram's slots, and-ed, give all
-languages that contain it. Per language the popcount over a text's n-grams,
-corrected for the false positives its fill makes likely, decides.
+The filters of all languages are one bit-sliced Bloom filter: a slot has a bit for
+each language, and the slots of an n-gram, and-ed, give all languages that contain
+it. Per language the popcount over a text's n-grams, corrected for the false
+positives its fill makes likely, decides.
 
-It learns from about `per_language` labelled documents of each language, chosen
-by a hash of the id, and keeps its `grams` most frequent n-grams; an n-gram is in
-a language's filter if its rate there is at least `share` of its highest rate.
-The filter's size is fixed by `slots` and the number of languages, at most 64.
+It learns from about `per_language` labelled documents of each language, chosen by a
+hash of the id; every n-gram of theirs is in the language's filter. Each task fills a
+filter of its own, and filters are or-ed, so what moves and what is sent are `slots`
+bytes for each eight languages, whatever the corpus and however many languages.
 
 Edge cases: null text, or one without a letter, is `und` with score 0; a text with
 letters but no known n-gram gets the first language with score 0; rows without a
-label teach nothing; without any label all texts are `und`; repeated rows each
-get a row; null ids are neither held out nor learned from.
+label teach nothing; without any label all texts are `und`; very long texts are read
+whole; of languages with equal counts the first by name is given; repeated rows each
+get a row; null ids are neither held out nor learned from; columns of the input that
+have the names of the result's are replaced by those; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -23,14 +26,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import common
 from textloom.llm.fingerprint import mix
 
-SIZES = (3, 4)
+SIZES = (5, 6)
 PROBES = 2
+#: Slots of a filter that move together.
+CHUNK = 1 << 15
 
 
 @lru_cache(maxsize=1)
@@ -66,30 +71,27 @@ def grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(hashes) if hashes else np.empty(0, np.uint64), np.concatenate(owners) if owners else np.empty(0, np.int32), has
 
 
-def mask_type(languages: int) -> type:
-    for bits, kind in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (64, np.uint64)):
-        if languages <= bits:
-            return kind
-    raise ValueError("at most 64 languages fit a bitmask")
-
-
 class Filters:
-    """The bit-sliced filter with the languages' names."""
+    """The bit-sliced filter with the languages' names: for each eight languages a byte a slot."""
 
     def __init__(self, languages: list[str], slots: np.ndarray):
         self.languages, self.slots = languages, slots
-        self.bits = [slots.dtype.type(1 << i) for i in range(len(languages))]
-        fill = np.array([((slots & b) != 0).mean() for b in self.bits])
+        fill = np.array([self.holds(slots, i).mean() for i in range(len(languages))])
         self.false = fill**PROBES
 
     @classmethod
-    def build(cls, languages: list[str], grams: np.ndarray, language: np.ndarray, slots: int) -> Filters:
-        table = np.zeros(slots, mask_type(len(languages)))
-        for i in range(len(languages)):
-            own = grams[language == i]
-            for at in cls.places(own, slots):
-                table[at] |= table.dtype.type(1 << i)
-        return cls(languages, table)
+    def empty(cls, languages: list[str], slots: int) -> np.ndarray:
+        return np.zeros((-(-len(languages) // 8), slots), np.uint8)
+
+    @classmethod
+    def add(cls, table: np.ndarray, grams: np.ndarray, language: int) -> None:
+        """Puts n-grams into a language's filter."""
+        for at in cls.places(grams, table.shape[1]):
+            table[language // 8, at] |= np.uint8(1 << language % 8)
+
+    @staticmethod
+    def holds(masks: np.ndarray, language: int) -> np.ndarray:
+        return masks[language // 8] & np.uint8(1 << language % 8) != 0
 
     @staticmethod
     def places(h: np.ndarray, slots: int) -> list[np.ndarray]:
@@ -99,12 +101,12 @@ class Filters:
         """Language, score and coverage of each text. Score: the winner's corrected count over its sum with the runner-up's. Coverage: over all n-grams."""
         n = len(texts)
         h, doc, has = grams_of(texts)
-        first, *others = self.places(h, len(self.slots))
-        mask = self.slots[first]
+        first, *others = self.places(h, self.slots.shape[1])
+        mask = self.slots[:, first]
         for at in others:
-            mask &= self.slots[at]
+            mask &= self.slots[:, at]
         total = np.bincount(doc, minlength=n)
-        counts = np.stack([np.bincount(doc[(mask & b) != 0], minlength=n) for b in self.bits])
+        counts = np.stack([np.bincount(doc[self.holds(mask, i)], minlength=n) for i in range(len(self.languages))])
         fixed = np.maximum(0.0, (counts - self.false[:, None] * total) / (1 - np.minimum(self.false, 0.99))[:, None])
         best = fixed.argmax(axis=0)
         top = fixed[best, np.arange(n)]
@@ -120,37 +122,51 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 2000, grams: int = 30_000, share: float = 0.25, slots: int = 1 << 21) -> Filters | None:
+def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 2000, slots: int = 1 << 22) -> Filters | None:
     """The filters, from the labelled rows of docs; None without any."""
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
-    counts = dict(rows.groupBy("lang").count().collect())
+    counts = dict(rows.groupBy("lang").count().collect())  # a row for each language
     languages = sorted(counts)
-    mask_type(len(languages))
     if not languages:
         return None
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
     limit = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(int(min(1.0, per_language / counts[k]) * (1 << 30))))])
     sample = rows.where(place < limit[F.col("lang")])
+    number = {k: i for i, k in enumerate(languages)}
+    chunk = min(CHUNK, slots)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Filters.empty(languages, slots)
         for b in common.slices(batches):
-            h, doc, _ = grams_of([x or "" for x in b.column("text").to_pylist()])
-            lang = np.array([languages.index(x) for x in b.column("lang").to_pylist()], np.int32)[doc] if len(doc) else doc
+            h, doc, _ = grams_of(b.column("text").to_pylist())
+            lang = np.array([number[x] for x in b.column("lang").to_pylist()], np.int32)[doc]
             for i in np.unique(lang).tolist():
-                value, n = np.unique(h[lang == i], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([i] * len(value), pa.int32()), pa.array(value.view(np.int64)), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
-
-    totals = sample.select("lang", "text").mapInArrow(count, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    rate = totals.withColumn("rate", F.col("n") / F.sum("n").over(Window.partitionBy("lang"))).withColumn("top", F.max("rate").over(Window.partitionBy("gram")))
-    kept = rate.where(F.col("rate") >= F.col("top") * F.lit(share)).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= grams)
-    found = kept.select("lang", "gram").toPandas()  # `grams` rows for each language at most
-    return Filters.build(languages, found["gram"].to_numpy(np.int64).view(np.uint64), found["lang"].to_numpy(), slots)
+                Filters.add(table, h[lang == i], i)
+        for row, part in enumerate(table.reshape(-1, chunk)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["part", "bits"])
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, raw in zip(b.column("part").to_pylist(), b.column("bits").to_pylist(), strict=True):
+                held[i] = held.get(i, np.uint8(0)) | np.frombuffer(raw, np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["part", "bits"])
+
+    schema = "part int, bits binary"
+    table = Filters.empty(languages, slots)
+    parts = table.reshape(-1, chunk)
+    united = sample.select("lang", "text").mapInArrow(fill, schema).repartition(min(len(parts), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "part").mapInArrow(unite, schema)
+    for r in united.collect():  # `slots` bytes for each eight languages
+        parts[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    return Filters(languages, table)
 
 
 def predict(docs: DataFrame, filters: Filters | None, *, text_col: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "coverage")) -> DataFrame:
-    """docs with three columns more: the language, its score and its coverage. Other names than theirs must be given if docs has one of them."""
-    if set(names) & set(docs.columns):
-        raise ValueError(f"docs already has one of the columns {names}")
+    """docs with three columns more: the language, its score and its coverage; columns of docs with these names are replaced."""
+    if text_col in names:
+        raise ValueError(f"the text itself has one of the names {names}")
+    docs = docs.drop(*names)
     sent = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.slots) if filters else None)
     made: dict[str, Filters] = {}
 
