@@ -83,7 +83,50 @@ def test_fingerprint_pairs(spark, awkward, empty):
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
     assert fingerprint.compare_edited(empty).count() == 0
-    assert fingerprint.fingerprint(awkward).where("fingerprint = '0:'").count() == 2
+    prints = {r.fingerprint for r in fingerprint.fingerprint(awkward).where("doc_id = 1").collect()}
+    assert prints == {fingerprint.write(fingerprint.sketches([""])[0])}
+
+
+def slow_sketch(text):
+    """Every window's hash by plain whole-number arithmetic, those under a sixteenth kept."""
+    m, mask = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+    def mixed(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mask
+        return x ^ (x >> 31)
+
+    ones = [(ord(c) + 1) * m & mask for c in text]
+    ones = [x ^ (x >> 29) for x in ones]
+    if 0 < len(text) < 16:
+        found = {int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little") >> 16}
+    else:  # the code points of a window are the digits of a number to the base m
+        found = {mixed(sum(x * pow(m, 15 - j, 1 << 64) for j, x in enumerate(ones[i : i + 16])) & mask) >> 16 for i in range(len(text) - 15)}
+    return sorted(x for x in found if x < 1 << 44)
+
+
+def test_sketches_equal_slow(documents):
+    texts = ["", "short", "exactly sixteen!", "é漢😀" * 9, *documents.text.head(40)]
+    texts = [t[:3000] for t in texts]
+    for t, s in zip(texts, fingerprint.sketches(texts), strict=True):
+        assert s.hashes.tolist() == slow_sketch(t)
+        assert (back := fingerprint.read(fingerprint.write(s))).digest == s.digest and np.array_equal(back.hashes, s.hashes)
+
+
+def test_fingerprint_query(spark, sf, documents):
+    """The query against plain sets of shingles: estimates stay near the true likeness."""
+    docs = documents.sort_values("doc_id")
+    texts = [t or "" for t in docs.text]
+    grams = lambda t: {t[i : i + 16] for i in range(len(t) - 15)} if len(t) >= 16 else {t} - {""}
+    got = {r.doc_id: r for r in fingerprint.op4_fingerprints(spark, sf).collect()}
+    assert set(got) == set(docs.doc_id)
+    for i, a, b in zip(docs.doc_id, texts, texts[1:] + texts[:1]):
+        e = a[: len(a) - len(a) // 4] + b[: len(a) // 4]
+        assert (got[i].n_chars, got[i].edited_sha256) == (len(a), hashlib.sha256(e.encode()).hexdigest())
+        x, y, z = grams(a), grams(e), grams(b)
+        for near, other in ((got[i].near_edited, y), (got[i].near_next, z)):
+            true = len(x & other) / max(1, len(x | other))
+            assert abs(near - true) < 0.02 + 24 / max(24, len(x | other)) ** 0.5
 
 
 def test_fingerprint_estimates(documents):
@@ -92,9 +135,19 @@ def test_fingerprint_estimates(documents):
         half = a[: len(a) // 2]
         x, y, z, both = fingerprint.sketches([a, half, b, a + "\0" * 20 + b])
         assert fingerprint.containment(y, x) > 0.9 and abs(fingerprint.likeness(x, y) - 0.5) < 0.2
-        assert fingerprint.read(fingerprint.write(x))[0] == x[0] and np.array_equal(fingerprint.read(fingerprint.write(x))[1], x[1])
-        level, merged = fingerprint.merge(x, z)
-        assert fingerprint.containment(x, both) > 0.95 and fingerprint.likeness((level, merged), both) > 0.9
+        merged = fingerprint.merge(x, z)
+        assert fingerprint.containment(x, both) == 1 and fingerprint.likeness(merged, both) > 0.9
+
+
+def test_containment_of_very_unequal_texts(documents):
+    """A text within one of 50 times its length; and one of which half lies within."""
+    long_ = " ".join(t for t in documents.text if t)[:150_000]
+    other = "".join(chr(0x4E00 + i % 5000) for i in range(7, 30_000, 3))
+    for at in range(0, 90_000, 9_000):
+        part = long_[at : at + 3000]
+        whole, inside, half = fingerprint.sketches([long_, part, part[:1500] + other[at // 9 : at // 9 + 1500]])
+        assert fingerprint.containment(inside, whole) == 1
+        assert abs(fingerprint.containment(half, whole) - 0.5) < 0.17 and fingerprint.likeness(inside, whole) < 0.05
 
 
 def slow_repeats(words, n=8):

@@ -1,26 +1,28 @@
 """Operator 4, document fingerprints: threshold-scaled sketches.
 
-A text's shingles are its windows of `width` code points (the whole text, if it
-is shorter). A sketch retains every shingle hash below a fixed fraction of the
-hash range, so sketches merge by union and give containment between documents of
-very unequal length. The fraction is 2^-5; texts of few shingles keep a larger
-one, 2^-level, so that about 64 hashes remain. Two sketches are compared at the
-smaller fraction of both, to which the other is cut down exactly.
-
-A fingerprint is written as the level, a colon, and the retained 48-bit hashes in
-ascending order, 12 hexadecimal digits each.
-
-Edge cases: null text is empty and has the fingerprint "0:"; two empty texts are
-alike by 1, an empty and another by 0; where nothing remains to compare, equal
-fingerprints are alike by 1 and others by 0; documents with equal ids follow one
-another by text; null ids come first; of one document alone the next is itself;
-an empty table gives an empty result.
+A text's shingles are its windows of `WIDTH` code points (the whole text, if it is
+shorter). A sketch retains every shingle hash below one fixed fraction of the hash
+range, 2^-4 for all texts, so sketches merge by union and any two, of however
+unequal texts, are compared as they are. Of n shingles about n / 16 hashes remain; a
+share p of them is estimated with a standard error of about 4 * sqrt(p * (1 - p) / n):
+0.04 for a half of 2,400 shingles, 0.2 for a half of 100.
+
+A fingerprint is written as 8 hexadecimal digits of a digest of the text, a colon,
+and the retained 48-bit hashes in ascending order, 12 digits each.
+
+Edge cases: null text is empty; very short texts often retain no hash: where nothing
+remains to compare, sketches with one digest are alike by 1 and others by 0, and so
+two empty texts are alike by 1; very long texts are read whole; documents with equal
+ids follow one another by text, and repeated rows follow themselves; null ids come
+first; of one document alone the next is itself; only the id and the text are read,
+so no other column can clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm import common
 
-WIDTH, LEVEL, LEAST, BITS = 16, 5, 64, 48
+WIDTH, LEVEL, BITS = 16, 4, 48
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -54,71 +56,71 @@ def window_hashes(codes: np.ndarray, width: int) -> np.ndarray:
     return mix(h)
 
 
-def sketches(texts: list[str], width: int = WIDTH) -> list[tuple[int, np.ndarray]]:
-    """(level, ascending distinct hashes) of each text."""
+class Sketch(NamedTuple):
+    digest: int
+    #: ascending, distinct, below the fraction
+    hashes: np.ndarray
+
+
+def digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=4).digest(), "big")
+
+
+def sketches(texts: list[str], width: int = WIDTH) -> list[Sketch]:
+    """The sketch of each text."""
     sizes = np.array([len(t) for t in texts], np.int64)
     codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
     begins = np.cumsum(sizes) - sizes
     counts = np.maximum(sizes - width + 1, 0)
-    levels = np.clip(np.floor(np.log2(np.maximum(counts, 1) / LEAST)), 0, LEVEL).astype(np.int64)
-    empty = np.empty(0, np.uint64)
-    out: list[tuple[int, np.ndarray]] = [(0, empty)] * len(texts)
+    limit = np.uint64(1 << (BITS - LEVEL))
+    value, doc = np.empty(0, np.uint64), np.empty(0, np.int64)
     if len(codes) >= width:
         h = window_hashes(codes, width) >> np.uint64(64 - BITS)
-        # of each level's longest run of texts only what lies under the limit is looked at again
-        limit = np.repeat(np.uint64(1) << (BITS - levels).astype(np.uint64), sizes)[: len(h)]
         pos = np.flatnonzero(h < limit)
         doc = np.searchsorted(begins, pos, side="right") - 1
         inside = pos - begins[doc] < counts[doc]
-        pos, doc = pos[inside], doc[inside]
-        value = h[pos]
-        order = np.lexsort((value, doc))
-        value, doc = value[order], doc[order]
-        fresh = np.concatenate(([True], (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])))[: len(value)]
-        value, doc = value[fresh], doc[fresh]
-        ends = np.searchsorted(doc, np.arange(len(texts) + 1))
-        out = [(int(levels[i]), value[ends[i] : ends[i + 1]]) for i in range(len(texts))]
-    for i in np.flatnonzero((counts == 0) & (sizes > 0)).tolist():
-        out[i] = 0, np.frombuffer(hashlib.blake2b(texts[i].encode(), digest_size=8).digest(), np.uint64) >> np.uint64(64 - BITS)
-    return out
-
-
-def write(sketch: tuple[int, np.ndarray]) -> str:
-    digits = sketch[1].astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes().hex()
-    return f"{sketch[0]}:{digits}"
-
-
-def read(fingerprint: str) -> tuple[int, np.ndarray]:
-    level, digits = fingerprint.split(":")
+        value, doc = h[pos[inside]], doc[inside]
+    short = np.flatnonzero((counts == 0) & (sizes > 0))
+    if len(short):
+        whole = np.array([int.from_bytes(hashlib.blake2b(texts[i].encode(), digest_size=8).digest(), "little") >> 64 - BITS for i in short.tolist()], np.uint64)
+        value, doc = np.concatenate((value, whole[whole < limit])), np.concatenate((doc, short[whole < limit]))
+    order = np.lexsort((value, doc))
+    value, doc = value[order], doc[order]
+    fresh = np.concatenate(([True], (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])))[: len(value)]
+    value, doc = value[fresh], doc[fresh]
+    ends = np.searchsorted(doc, np.arange(len(texts) + 1))
+    return [Sketch(digest(t), value[ends[i] : ends[i + 1]]) for i, t in enumerate(texts)]
+
+
+def write(sketch: Sketch) -> str:
+    digits = sketch.hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes().hex()
+    return f"{sketch.digest:08x}:{digits}"
+
+
+def read(fingerprint: str) -> Sketch:
+    own, digits = fingerprint.split(":")
     raw = np.frombuffer(bytes.fromhex(digits), np.uint8).reshape(-1, 6)
-    return int(level), np.pad(raw, ((0, 0), (2, 0))).copy().view(">u8").reshape(-1).astype(np.uint64)
-
-
-def common_level(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> tuple[int, np.ndarray, np.ndarray]:
-    level = max(a[0], b[0])
-    limit = np.uint64(1 << (BITS - level))
-    return level, a[1][: np.searchsorted(a[1], limit)], b[1][: np.searchsorted(b[1], limit)]
+    return Sketch(int(own, 16), np.pad(raw, ((0, 0), (2, 0))).copy().view(">u8").reshape(-1).astype(np.uint64))
 
 
-def likeness(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
+def likeness(a: Sketch, b: Sketch) -> float:
     """Estimated intersection over union of the shingle sets."""
-    _, x, y = common_level(a, b)
-    if not len(x) and not len(y):
-        return float(a[0] == b[0] and np.array_equal(a[1], b[1]))
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both)
+    if not len(a.hashes) and not len(b.hashes):
+        return float(a.digest == b.digest)
+    both = len(np.intersect1d(a.hashes, b.hashes, assume_unique=True))
+    return both / (len(a.hashes) + len(b.hashes) - both)
 
 
-def containment(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
+def containment(a: Sketch, b: Sketch) -> float:
     """Estimated share of a's shingles that b has; b may be far longer or shorter."""
-    _, x, y = common_level(a, b)
-    return len(np.intersect1d(x, y, assume_unique=True)) / len(x) if len(x) else float(not len(a[1]))
+    if not len(a.hashes):
+        return float(a.digest == b.digest)
+    return len(np.intersect1d(a.hashes, b.hashes, assume_unique=True)) / len(a.hashes)
 
 
-def merge(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> tuple[int, np.ndarray]:
-    """The sketch of both texts' shingles together."""
-    level, x, y = common_level(a, b)
-    return level, np.union1d(x, y)
+def merge(a: Sketch, b: Sketch) -> Sketch:
+    """The sketch of both texts' shingles together; its digest tells the pair apart."""
+    return Sketch(a.digest ^ b.digest, np.union1d(a.hashes, b.hashes))
 
 
 def fingerprint(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
