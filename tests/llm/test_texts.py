@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -229,6 +230,20 @@ def test_packing(awkward, empty, weights):
     assert packing.pack(empty, TOKENIZER).count() == 0
 
 
+def test_packing_many_sources(spark):
+    """More sources than queues: the large ones keep theirs, the small ones share; every token is packed."""
+    rows = [(i, f"word{i} " * (200 if i % 40 == 0 else 3), f"s{i % 40 and i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    check_packing(docs, packing.pack(docs, TOKENIZER, max_queues=20, lane_windows=2).collect())
+    plan = packing.Lanes({str(i): 1000 for i in range(3000)}, None, 2048, 1024)
+    assert plan.plan(0)[1].nbytes < 8 << 20 and np.diff(plan.plan(0)[1], axis=0)[3].sum() == 2048
+
+
+def test_packing_query(spark, sf, documents):
+    """Of whole documents, every id lies in exactly one piece."""
+    check_packing(spark.read.parquet(f"{sf}/documents.parquet"), packing.op6_packing(spark, sf).collect())
+
+
 def test_packing_mixture():
     totals = {"a": 50_000, "b": 30_001, "c": 7}
     plan = packing.Lanes(totals, None, 256, 16)
@@ -246,14 +261,21 @@ def test_packing_mixture():
     assert abs(int(first[0]) - int(first[1])) < 3  # equal shares, whatever the sizes
 
 
-def test_word_tokenizer_equals_library():
+def test_word_tokenizer_equals_library(monkeypatch):
     tokenizer = Tokenizer.from_file(TOKENIZER)
     with open(TOKENIZER, encoding="utf-8") as f:
         own = packing.WordTokenizer(f.read())
     rng = random.Random(5)
     for alphabet in ("ab Tthe Ing's 've\n \t12.,;éÉİßΣ漢字😀é  <|endoftext|>", "ab Tthe Ing's\n12.,;éÉß--  \x1c\x85"):
         texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 50))) for _ in range(600)]
-        assert [np.frombuffer(x, own.kind).tolist() for x in own.encode(texts, 1)] == [[*e.ids, 1] for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        want = [[*e.ids, 1] for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        for size in (2_000_000, 500):  # a store that is emptied again and again, too
+            monkeypatch.setattr(packing, "STORE_WORDS", size)
+            ids, sizes = own.encode(pa.array(texts), 1)
+            assert [np.frombuffer(x, own.kind).tolist() for x in ids.to_pylist()] == want and sizes.tolist() == list(map(len, want))
+            for i in range(0, 600, 25):
+                assert own.encode(pa.array(texts[i : i + 25]), 1)[0].equals(ids[i : i + 25])
+    assert len(own.encode(pa.array([], pa.string()), 1)[0]) == 0
 
 
 def test_language(spark, sf, awkward, empty):

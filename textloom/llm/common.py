@@ -19,7 +19,7 @@ SLICE_BYTES = 2 << 20
 BATCH_BYTES = 16 << 20
 #: Rows handled at once inside a kernel, however short.
 SLICE_ROWS = 1 << 15
-#: Rows of ids that are broadcast at most; about 16 MB.
+#: Rows of ids or short keys that are broadcast at most; some 20 MB.
 SENT_ROWS = 1 << 20
 
 
@@ -62,7 +62,7 @@ class Workspace:
 
 
 def sized(ids: DataFrame) -> DataFrame:
-    """A written table of one number a row: broadcast up to SENT_ROWS, else left for a shuffled join."""
+    """A written table of a key or two a row: broadcast up to SENT_ROWS, else left for a shuffled join."""
     return F.broadcast(ids) if ids.count() <= SENT_ROWS else ids
 
 
