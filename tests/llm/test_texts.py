@@ -439,6 +439,28 @@ def test_rollup(spark, tmp_path):
         store.apply("../b", first)
 
 
+def test_rollup_compaction_meets_commits(spark, tmp_path):
+    """A batch that is committed while a base is made counts once, before and after; what was planned before a compaction still runs."""
+    make = lambda *rows: spark.createDataFrame(list(rows), "kind string, source string, lang string, tokenizer string, tokens long, old_tokens long")
+    path = f"file://{tmp_path}/store"
+
+    class Meets(rollup.TokenRollup):
+        def _sums(self, base, batches):
+            rollup.TokenRollup(spark, path).apply("late", make(("insert", "s", "en", "t", 5, None)))
+            return super()._sums(base, batches)
+
+    store = rollup.TokenRollup(spark, path)
+    total = lambda: [(r.docs, r.tokens) for r in store.totals().collect()]
+    assert store.apply("b1", make(("insert", "s", "en", "t", 10, None)))
+    planned = store.totals()
+    assert Meets(spark, path).compact() and total() == [(2, 15)]
+    assert [(r.docs, r.tokens) for r in planned.collect()] == [(1, 10)]
+    for _ in range(3):
+        assert store.compact() and total() == [(2, 15)]
+    assert not store._names("batches") and store._names("done") == ["b1", "late"] and len(store._names("bases")) == 2
+    assert not store.apply("b1", make(("insert", "s", "en", "t", 10, None))) and total() == [(2, 15)]
+
+
 def test_rollup_query(spark, sf, documents):
     import tiktoken
 

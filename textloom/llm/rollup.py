@@ -6,13 +6,18 @@ tokens, a delete takes them away, a revision adds the difference of its counts;
 document that moves to another key is a delete and an insert. A batch's sums are
 written beside the store and moved to their place by one rename that fails if the
 place is taken, so a batch that is sent again, or by two writers, counts once.
-Totals are the sum of all batches; compact() folds them into a base, with the list
-of what it holds, in the same way.
+Totals are the sum of a base and the batches it does not hold. compact() lists the
+batches once, folds just those into a new base together with that list, and deletes
+what the base before held, one generation late, so that readers who planned before
+find their files; an empty marker keeps the id of a deleted batch taken. Renames must
+be atomic, as on HDFS or a local disk; an object store without that needs one writer.
 
 Edge cases: null source, language or counts of a change: a null key is a key of its
 own, a null count is 0; keys whose totals are all 0 are not returned; repeated
-changes within a batch count each; an empty batch commits and changes nothing; a
-kind other than insert, delete or revise stops the batch before it commits.
+changes within a batch count each, and there are no ties to decide; an empty batch or
+table commits and changes nothing; very long texts are counted whole; only the named
+columns are read, so others can't clash; a kind other than insert, delete or revise
+stops the batch before it commits.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,7 +62,7 @@ class TokenRollup:
         try:
             files.rename(self._path(staged), self._path(f"{self.path}/{kind}/{name}"), options)
             return True
-        except Exception:
+        except Py4JJavaError:
             if not self._fs.exists(self._path(f"{self.path}/{kind}/{name}")):
                 raise
             self._fs.delete(self._path(staged), True)
@@ -66,7 +72,7 @@ class TokenRollup:
         """Commits a batch of (kind, source, lang, tokenizer, tokens, old_tokens); False if it was committed before."""
         if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]*", batch):
             raise ValueError("a batch id has letters, digits, '.', '_' and '-'")
-        if batch in self._names("batches") or batch in self._folded():
+        if self._committed(batch):
             return False
         sign = F.when(F.col("kind") == "insert", 1).when(F.col("kind") == "delete", -1).when(F.col("kind") == "revise", 0).otherwise(F.raise_error(F.concat(F.lit("unknown kind of change: "), F.coalesce("kind", F.lit("null")))).cast("int"))
         new, old = (F.coalesce(F.col(c).cast("long"), F.lit(0)) for c in ("tokens", "old_tokens"))
@@ -75,31 +81,43 @@ class TokenRollup:
         signed.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.parquet(staged)
         return self._publish(staged, "batches", batch)
 
-    def _base(self) -> str | None:
+    def _committed(self, batch: str) -> bool:
+        return any(self._fs.exists(self._path(f"{self.path}/{kind}/{batch}")) for kind in ("batches", "done"))
+
+    def _base(self) -> tuple[str | None, set[str]]:
+        """The newest base and the batches in it of which the folders may still be there."""
         names = self._names("bases")
-        return f"{self.path}/bases/{names[-1]}" if names else None
+        if not names:
+            return None, set()
+        base = f"{self.path}/bases/{names[-1]}"
+        return base, {r[0] for r in self.spark.read.schema("batch string").parquet(f"{base}/batches").collect()}
 
-    def _folded(self) -> set[str]:
-        base = self._base()
-        return {r[0] for r in self.spark.read.schema("batch string").parquet(f"{base}/batches").collect()} if base else set()
+    def _sums(self, base: str | None, batches: list[str]) -> DataFrame:
+        paths = [f"{self.path}/batches/{x}" for x in batches] + [f"{base}/sums"] * bool(base)
+        rows = self.spark.read.schema(SUMS).parquet(*paths) if paths else self.spark.createDataFrame([], SUMS)
+        return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 OR tokens <> 0")
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, docs, tokens) over all committed batches."""
-        base, folded = self._base(), self._folded()
-        paths = [f"{self.path}/batches/{x}" for x in self._names("batches") if x not in folded] + [f"{base}/sums"] * bool(base)
-        rows = self.spark.read.schema(SUMS).parquet(*paths) if paths else self.spark.createDataFrame([], SUMS)
-        return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 OR tokens <> 0")
+        base, folded = self._base()
+        return self._sums(base, [x for x in self._names("batches") if x not in folded])
 
     def compact(self) -> bool:
-        """Folds all committed batches into a new base; readers see the old or the new one."""
-        names = sorted(set(self._names("batches")) | self._folded())
+        """Folds all batches committed so far into a new base; False if another writer made it first."""
+        base, folded = self._base()
+        present = self._names("batches")
+        new = [x for x in present if x not in folded]
         staged = f"{self.path}/staged/{uuid.uuid4().hex}"
-        self.totals().write.parquet(f"{staged}/sums")
-        self.spark.createDataFrame([(x,) for x in names], "batch string").write.parquet(f"{staged}/batches")
-        done = self._publish(staged, "bases", f"{len(self._names('bases')):08d}")
+        self._sums(base, new).write.parquet(f"{staged}/sums")
+        self.spark.createDataFrame([(x,) for x in present], "batch string").write.parquet(f"{staged}/batches")
+        number = int(base.rpartition("/")[2]) + 1 if base else 0
+        done = self._publish(staged, "bases", f"{number:08d}")
         if done:
-            for x in names:
+            for x in sorted(folded):  # in the base before this one too
+                self._fs.mkdirs(self._path(f"{self.path}/done/{x}"))
                 self._fs.delete(self._path(f"{self.path}/batches/{x}"), True)
+            for x in self._names("bases")[:-2]:
+                self._fs.delete(self._path(f"{self.path}/bases/{x}"), True)
         return done
 
 
