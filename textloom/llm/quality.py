@@ -1,19 +1,20 @@
 """Operator 5, quality rules: per-text base rules and cross-document line frequency.
 
-Lines are normalised (a-z for A-Z, runs of digits as 0, single
-spaces) and hashed. For
-each host the number of distinct documents that hold a line is counted, exact
-copies of a text as one document. A line over the host's limit is removed; a
-document that keeps too little is depleted and rejected.
+Lines are normalised (a-z for A-Z, runs of digits as 0, single spaces) and hashed.
+For each host the number of distinct documents that hold a line is counted, exact
+copies of a text as one document. A line is over the host's limit if more than
+`min_docs` documents have it and these are more than `max_share` of the host's or
+more than `max_docs`, so that a hot host's size doesn't raise its limit without end.
+It is removed; a document that keeps too little is depleted and rejected.
 
 Lines of every length are counted and removed: of a line only its hash and its
-number of words are moved. The SQL beside this leaves out lines of over 32 words; the
-two agree where no such line is over its host's limit.
+number of words are moved.
 
 Edge cases: null text is empty (no words, base_failed); null host is a host of
-its own; repeated rows each get a row; null ids stay null; an empty table gives
-an empty result; other columns of the input never clash, as only the three
-named ones are read.
+its own; very long texts and lines are read whole; a line in exactly as many documents
+as a limit stays; repeated rows each get a row and count as one document; null ids stay
+null; an empty table gives an empty result; other columns of the input never clash, as
+only the three named ones are read.
 """
 
 from __future__ import annotations
@@ -98,15 +99,15 @@ def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at += b.num_rows
 
 
-def frequent_lines(base: DataFrame, min_docs: int, max_share: float) -> DataFrame:
-    """(host, line) in more than min_docs and more than max_share of the host's distinct documents; exact copies count once."""
+def frequent_lines(base: DataFrame, min_docs: int, max_share: float, max_docs: int) -> DataFrame:
+    """(host, line) of the lines over their host's limit; exact copies count once."""
     once = base.groupBy("host", "th").agg(F.first("lines").alias("lines"))
     hosts = once.groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
     counts = once.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min_docs)
-    return counts.join(hosts, "host").where(F.col("n") > F.col("docs") * F.lit(max_share)).select("host", "line")
+    return counts.join(hosts, "host").where((F.col("n") > F.col("docs") * F.lit(max_share)) | (F.col("n") > max_docs)).select("host", "line")
 
 
-def assess(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 20, max_repeat_pct: int = 30, min_docs: int = 20, max_share: float = 0.01, min_kept_share: float = 0.3) -> DataFrame:
+def assess(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 20, max_repeat_pct: int = 30, min_docs: int = 10, max_share: float = 0.01, max_docs: int = 1000, min_kept_share: float = 0.3) -> DataFrame:
     """A row for each input row: the base measures, the words that frequent lines take, the verdict, and the keys of the lines to remove (drop).
 
     th is xxhash64 of the text (null as empty), host the host with null as "\\0".
@@ -115,7 +116,7 @@ def assess(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", h
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), host_of(host_col).alias("host"), text.alias("text"))
     base = ws.write(rows.mapInArrow(measure, BASE), "base")
-    frequent = ws.write(frequent_lines(base, min_docs, max_share), "frequent")
+    frequent = ws.write(frequent_lines(base, min_docs, max_share, max_docs), "frequent")
     lines = base.select("rid", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("rid", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("w"))
     # frequent is read from a table, so each side has an exchange of its own and Spark can split a line that fills a host
     lost = lines.join(frequent, ["host", "line"]).groupBy("rid").agg(F.sum("w").alias("lost"), F.collect_set("line").alias("drop"))
@@ -183,12 +184,11 @@ lines AS (
          array_to_string(regexp_extract_all(regexp_replace(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '0', 'g'), '[^ 	-
 ]+'), ' ') AS norm
   FROM (SELECT doc_id, host, text, unnest(ls) AS l FROM d)),
-counted AS (SELECT * FROM lines WHERE nw <= 32),
 hosts AS (SELECT host, count(DISTINCT text) AS docs FROM d GROUP BY host),
 freq AS (
-  SELECT c.host, norm FROM (SELECT host, norm, count(DISTINCT text) AS n FROM counted GROUP BY host, norm) c JOIN hosts USING (host)
-  WHERE n > 20 AND n > docs * 0.01),
-lost AS (SELECT doc_id, sum(nw) AS lost FROM counted JOIN freq USING (host, norm) GROUP BY doc_id),
+  SELECT c.host, norm FROM (SELECT host, norm, count(DISTINCT text) AS n FROM lines GROUP BY host, norm) c JOIN hosts USING (host)
+  WHERE n > 10 AND (n > docs * 0.01 OR n > 1000)),
+lost AS (SELECT doc_id, sum(nw) AS lost FROM lines JOIN freq USING (host, norm) GROUP BY doc_id),
 m AS (
   SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
