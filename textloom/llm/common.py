@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text handled at once inside a kernel, in bytes; bounds a Python worker's memory whatever the batch size.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Text in one Arrow batch between the JVM and a Python worker.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 #: Rows handled at once inside a kernel, however short.
 SLICE_ROWS = 1 << 15
 #: Rows of ids or short keys that are broadcast at most; some 20 MB.
