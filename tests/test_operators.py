@@ -152,6 +152,61 @@ def test_index(spark, tmp_path):
     assert {r.text for r in store.records().where("source = 'b.md'").collect()} == {"New text.", " More text."}
 
 
+def test_index_writes(spark, tmp_path):
+    """Each text is embedded once; a change leaves other segments alone; the last given chunk stays; old versions go."""
+    import os
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def embedder(texts):
+        calls.add(len(texts))
+        return [[float(len(t)), 1.0] for t in texts]
+
+    store = index.ParquetIndex(spark, f"file://{tmp_path}/index")
+    docs = spark.createDataFrame([(f"text {i}", 0, 6, 6, "", f"s{i % 3}") for i in range(10)], "text string, start int, end int, token_count int, context string, source string")
+    store.index(docs, source=F.col("source"), embedder=embedder)
+    assert calls.value == 10 and store.records().count() == 10
+    first = {s["name"] for s in store._segments()}
+    store.index(docs.limit(0), source="x", embedder=embedder)
+    assert store.delete_source("s1") == 3 and {s["name"] for s in store._segments()} > first
+    assert [(r["name"], r["count"]) for r in store.sources().collect()] == [("s0", 4), ("s2", 3)]
+    one = docs.where("text = 'text 0'").withColumn("ord", F.lit(1)).union(docs.where("text = 'text 0'").withColumns({"source": F.lit("last"), "ord": F.lit(2)}))
+    for rows in (one, one.repartition(4).orderBy(F.desc("ord"))):
+        store.index(rows, source=F.col("source"), embedder=embedder)
+        assert {r.text: r.source for r in store.records().collect()} == {"text 0": "last"} | {f"text {i}": f"s{i % 3}" for i in range(1, 10) if i % 3 != 1}
+    for mode in scoring.MODES:
+        assert [r.source for r in store.search("text 0", k=1, mode=mode, vector=[6.0, 1.0], source="last").collect()] == ["last"]
+    store.compact()
+    assert len(store._segments()) == 1 and store.records().count() == 7
+    store.compact()
+    assert len([x for x in os.listdir(tmp_path / "index") if x.startswith("v")]) == index.KEPT
+    stale = store._numbers()[-1] - 1
+    with pytest.raises(RuntimeError):
+        store._commit(stale, [])
+    missing = index.ParquetIndex(spark, f"file://{tmp_path}/none")
+    assert missing.sources().count() == 0 and missing.delete_source("x") == 0 and missing.search("x", mode="bm25").count() == 0
+
+
+def test_stored_search_equals_plain(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "s" + str(i % 2), f"cat {'dog ' * (i % 4)}{'猫睡' * (i % 3)} w{i}") for i in range(40)], "doc_id long, source string, text string")
+    made = chunkers.chunk(docs, "token", size=30, keep=["source"]).withColumn("vector", hashing_vector(F.col("text")))
+    store = index.ParquetIndex(spark, f"file://{tmp_path}/index")
+    store.index(made.where("source = 's0'").drop("chunk_index"), source=F.col("source"), mode="append")
+    store.index(made.where("source = 's1'").drop("chunk_index"), source=F.col("source"), mode="append")
+    show = lambda df: [(r.rank, r.text, r.start, r.source, round(r.score, 9)) for r in df.orderBy("rank").collect()]
+    for mode in scoring.MODES:
+        for options in ({}, {"source": "s1"}, {"source": "s1", "stats_scope": "corpus"}, {"k": 60}, {"k": 3}):
+            for q in ("dog cat 猫睡", "w7", "absent"):
+                assert show(store.search(q, mode=mode, **{"k": 8, **options})) == show(index.search(made, q, mode=mode, **{"k": 8, **options})), (mode, options, q)
+    queries = ["dog cat 猫睡", "w7", "absent"]
+    for mode in scoring.MODES:
+        ranked = evaluate.rank_cases(made, queries, k=4, mode=mode).collect()
+        for i, q in enumerate(queries):
+            got = sorted((r.rank, r.text, r.start, r.source, round(r.score, 9)) for r in ranked if r.case_id == i)
+            want = show(index.search(made, q, mode=mode, k=4))
+            assert [x[4] for x in got] == [x[4] for x in want]
+
+
 # A small retrieval set, three topics in two languages.
 DOCS = {
     "cats.md": "Cats are small carnivores kept as pets. A cat sleeps for most of the day. Kittens learn to hunt by play.",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 import regex
@@ -109,11 +110,20 @@ def make_ruler(name: str | Ruler = "", encoding=None) -> Ruler:
     raise ValueError(f"unknown tokenizer {name!r}: want character, word, bigram or tiktoken")
 
 
+_CJK_RUN = regex.compile(f"[{CJK_PYTHON}]")
+#: Letters and digits; the same as _TERM for Latin text without numerals such as a raised 2.
+_ALNUM = re.compile(r"[^\W_]+")
+_UNUSUAL = re.compile("[^\x00-\u024f]|[\xb2\xb3\xb9\xbc-\xbe]")
+
+
 def index_terms(text: str) -> list[str]:
     """Lower-case terms: letters and digits whole, CJK runs as sliding pairs."""
+    low = text.replace("İ", "i").replace("Σ", "σ").lower()
+    if low.isascii() or not _UNUSUAL.search(low):
+        return _ALNUM.findall(low)
     out: list[str] = []
-    for run in _TERM.findall(text.replace("İ", "i").replace("Σ", "σ").lower()):
-        if regex.match(f"[{CJK_PYTHON}]", run) and len(run) > 1:
+    for run in _TERM.findall(low):
+        if len(run) > 1 and _CJK_RUN.match(run):
             out += [run[i : i + 2] for i in range(len(run) - 1)]
         else:
             out.append(run)

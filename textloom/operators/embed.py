@@ -27,16 +27,33 @@ def slot(term: str, dimensions: int = DIMENSIONS) -> int:
     return h % dimensions
 
 
+class Slots(dict):
+    """The slot of each term met, up to LIMIT terms; a worker keeps one for each width."""
+
+    LIMIT = 500_000
+
+    def __init__(self, dimensions: int):
+        super().__init__()
+        self.dimensions = dimensions
+
+    def __missing__(self, term: str) -> int:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        self[term] = n = slot(term, self.dimensions)
+        return n
+
+
+_slots: dict[int, Slots] = {}
+
+
 def hash_texts(texts: Sequence[str], dimensions: int = DIMENSIONS) -> np.ndarray:
     """Counts of hashed terms; for kernels that already run in Python."""
-    out = np.zeros((len(texts), dimensions), np.float32)
-    known: dict[str, int] = {}
-    for i, text in enumerate(texts):
-        for t in python_terms(text):
-            if t not in known:
-                known[t] = slot(t, dimensions)
-            out[i, known[t]] += 1
-    return out
+    known = _slots.setdefault(dimensions, Slots(dimensions))
+    terms = list(map(python_terms, texts))
+    sizes = np.fromiter(map(len, terms), np.int64, len(terms))
+    at = np.fromiter((known[t] for own in terms for t in own), np.int64, int(sizes.sum()))
+    cells = np.repeat(np.arange(len(texts)) * dimensions, sizes) + at
+    return np.bincount(cells, minlength=len(texts) * dimensions).reshape(-1, dimensions).astype(np.float32)
 
 
 def slot_column(term: Column, dimensions: int = DIMENSIONS) -> Column:
