@@ -358,7 +358,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
         t = tokenizer(data.value)
         block = TaskContext.get().partitionId()
         at: dict[str, int] = {}
-        for b in common.slices(batches):
+        for b in common.slices(batches, limit=4 * common.SLICE_BYTES):  # more text at once holds fewer different words
             ids, sizes = t.encode(pa.compute.fill_null(b.column("text"), "").cast(pa.string()), end_id)
             begins = []
             for q, n in zip(b.column("queue").to_pylist(), sizes.tolist(), strict=True):
