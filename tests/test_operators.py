@@ -187,6 +187,50 @@ def test_index_writes(spark, tmp_path):
     assert missing.sources().count() == 0 and missing.delete_source("x") == 0 and missing.search("x", mode="bm25").count() == 0
 
 
+def test_other_stores(spark, tmp_path):
+    import sqlite3
+    import struct
+
+    store = readers.open_index(spark, str(tmp_path / "i.jsonl"))
+    assert store.records().count() == 0 and store.delete_source("x") == 0
+    store.upsert(records(spark, [("one", 0, "h", [1.0, 0.0], "a"), ("two", 3, "", [0.0, 2.0], "")]))
+    store.upsert(records(spark, [("one", 0, "h", [1.0, 0.0], "b")]))
+    assert [(r["name"], r["count"]) for r in store.sources().collect()] == [("", 1), ("a", 1), ("b", 1)]
+    store.upsert(records(spark, [("one", 0, "h", [3.0, 0.0], "c")]), mode="keyed")
+    assert {(r.text, r.source) for r in store.records().collect()} == {("one", "c"), ("two", "")}
+    store.index(records(spark, [("new", 5, "", [1.0, 1.0], "")]), source="c", replace=True)
+    assert {(r.text, r.source) for r in store.records().collect()} == {("new", "c"), ("two", "")}
+    assert [r.text for r in store.search("x", vector=[0.0, 1.0], k=1).collect()] == ["two"] and store.delete_source("c") == 1
+    con = sqlite3.connect(tmp_path / "i.db")
+    con.execute("CREATE TABLE records (text TEXT, start INTEGER, end INTEGER, context TEXT, token_count INTEGER, vector BLOB, source TEXT)")
+    con.execute("INSERT INTO records VALUES ('猫', 0, 1, 'h', 1, ?, 's')", [struct.pack("<2f", 1.5, -2)])
+    con.commit()
+    con.close()
+    assert [tuple(r) for r in readers.open_index(spark, str(tmp_path / "i.db")).collect()] == [("猫", 0, 1, 1, "h", [1.5, -2.0], "s")]
+    assert isinstance(readers.open_index(spark, str(tmp_path / "i")), index.ParquetIndex)
+
+
+def test_byte_pair_chunks(spark, sf):
+    import public_tokenizers as P
+    import tiktoken
+
+    from textloom.functions.rulers import load_byte_pair
+    from textloom.plans.queries import QUERIES
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    ruler = load_byte_pair(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    assert isinstance(ruler.split("x"), list) and tiktoken
+    want = []
+    for i, text in texts.items():
+        pieces = ruler.split(text)
+        assert "".join(pieces) == text
+        for k in range(max(0, -(-(len(pieces) - 200) // 180)) + 1 if pieces else 0):
+            own = "".join(pieces[k * 180 : k * 180 + 200])
+            want.append((i, k, own, len("".join(pieces[: k * 180])), len(pieces[k * 180 : k * 180 + 200])))
+    got = [(r.doc_id, r.chunk_index, r.text, r.chunk_start, r.token_count) for r in QUERIES["byte_pair_chunks"](spark, sf).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_stored_search_equals_plain(spark, tmp_path):
     docs = spark.createDataFrame([(i, "s" + str(i % 2), f"cat {'dog ' * (i % 4)}{'猫睡' * (i % 3)} w{i}") for i in range(40)], "doc_id long, source string, text string")
     made = chunkers.chunk(docs, "token", size=30, keep=["source"]).withColumn("vector", hashing_vector(F.col("text")))
@@ -339,6 +383,8 @@ def test_cli(spark, tmp_path, capsys):
     assert code == 0 and [c["text"] for c in json.loads(out)] == ["Cats sleep.", " Dogs bark."]
     code, out = call("-dir", tmp_path / "d", "-ext", "txt,csv", "-index", at, "-html", tmp_path / "page.html")
     assert code == 0 and [d["path"] for d in json.loads(out)] == ["cats.txt", "t.csv"] and (tmp_path / "page.html").exists()
+    assert call("-index", f"{tmp_path}/i.jsonl", "-source", "s", "-quiet", tmp_path / "d" / "cats.txt") == (0, "")
+    assert json.loads(call("-index", f"{tmp_path}/i.jsonl", "-list-sources")[1]) == [{"name": "s", "count": 1}] and call("-index", "x.db", "-list-sources")[0] == 2
     code, out = call("-index", at, "-query", "cats", "-k", 1, "-scoring", "hybrid")
     assert code == 0 and json.loads(out)[0]["record"]["source"] == "cats.txt"
     assert json.loads(call("-index", at, "-list-sources")[1]) == [{"name": "cats.txt", "count": 1}, {"name": "t.csv", "count": 1}]

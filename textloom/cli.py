@@ -1,4 +1,7 @@
-"""python -m textloom: chunk files, index them, search the index. Exit code 2 for wrong use, 1 for a failure."""
+"""python -m textloom: chunk files, index them, search the index. Exit code 2 for wrong use, 1 for a failure.
+
+The chunks are printed; with -quiet they are only indexed, and stay on the executors.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +15,6 @@ from pyspark.sql import functions as F
 
 from textloom.operators import chunkers, refine, visualize
 from textloom.operators.embed import embed, embed_text
-from textloom.operators.index import ParquetIndex
 from textloom.sources import readers
 
 
@@ -25,7 +27,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("file", nargs="*")
     for name, kind, default in (("chunker", str, "recursive"), ("tokenizer", str, "character"), ("lang", str, ""), ("rules", str, ""), ("size", int, 512), ("overlap", int, 0), ("index", str, ""), ("embedder", str, "hashing"), ("context", int, 0), ("context-mode", str, "prefix"), ("dir", str, ""), ("ext", str, ""), ("html", str, ""), ("query", str, ""), ("k", int, None), ("scoring", str, "dense"), ("hybrid-weight", float, 0.5), ("source", str, ""), ("delete-source", str, "")):
         p.add_argument(f"-{name}", f"--{name}", type=kind, default=default)
-    for name in ("embed", "append", "list-sources"):
+    for name in ("embed", "append", "list-sources", "quiet"):
         p.add_argument(f"-{name}", f"--{name}", action="store_true")
     return p
 
@@ -45,6 +47,8 @@ def _check(a: argparse.Namespace) -> None:
         raise UsageError("give -list-sources or -delete-source, not both")
     if (a.query or a.list_sources or a.delete_source) and not a.index:
         raise UsageError("-index is missing")
+    if a.index.lower().endswith(readers.SQLITE):
+        raise UsageError("a SQLite index is only read, by readers.read_sqlite, to be put into a Parquet or JSON Lines index")
     if a.context_mode not in ("prefix", "suffix"):
         raise UsageError(f"unknown context mode {a.context_mode!r}: want prefix or suffix")
     if a.context < 0:
@@ -85,7 +89,7 @@ def run(argv: Sequence[str], spark: SparkSession | None = None) -> int:
         return 2
     try:
         spark = spark or SparkSession.builder.appName("textloom").getOrCreate()
-        index = ParquetIndex(spark, a.index) if a.index else None
+        index = readers.open_index(spark, a.index) if a.index else None
         if a.query:
             source = a.source or None
             hits = index.search(a.query, k=a.k or 5, mode=a.scoring, weight=a.hybrid_weight, source=source, embedder=a.embedder).orderBy("rank").collect()
@@ -99,9 +103,13 @@ def run(argv: Sequence[str], spark: SparkSession | None = None) -> int:
             chunks = _chunks(docs, a, options)
             if a.embed or index:
                 chunks = embed(chunks, embed_text(), embedder=a.embedder)
+            if index and not a.quiet:
+                chunks = chunks.persist()  # computed once for the index and for what is printed
             if index:
                 label = F.lit(a.source) if a.source else F.col("path") if a.dir else F.lit("")
                 index.index(chunks, source=label, replace=not a.append and bool(a.source or a.dir))
+            if a.quiet:  # nothing comes to the driver
+                return 0
             shown = chunks if a.embed else chunks.drop("vector")
             rows: dict[str, list[dict]] = {}
             for r in shown.orderBy("path", "chunk_index").collect():  # what is printed

@@ -92,9 +92,17 @@ def load_byte_pair(path: str, pattern: str) -> Ruler:
     return byte_pair(tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}))
 
 
-def make_ruler(name: str | Ruler = "", encoding=None) -> Ruler:
+_loaded: dict[tuple, Ruler] = {}
+
+
+def make_ruler(name: str | Ruler | tuple[str, str, str] = "", encoding=None) -> Ruler:
+    """By name; ("tiktoken", path, pattern) is a vocabulary file, read once for the process."""
     if isinstance(name, Ruler):
         return name
+    if isinstance(name, tuple) and name[0] == "tiktoken":
+        if name not in _loaded:
+            _loaded[name] = load_byte_pair(*name[1:])
+        return _loaded[name]
     if name in ("", "character"):
         return CHARACTER
     if name == "word":

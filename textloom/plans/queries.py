@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import columns
 from textloom.functions.classes import SENTENCE_DELIMITERS
 from textloom.operators import chunkers, evaluate, index, refine, scoring, validate, visualize
-from textloom.operators.embed import cosine_to, hash_texts, hashing_counts, hashing_vector
-from textloom.plans import chunk_sql
+from textloom.operators.embed import cosine_to, hash_texts, hashing_counts, hashing_vector, mean_vector
+from textloom.plans import chunk_sql, fixtures
 from textloom.sources import readers
 
 QUERY = "the tion of and there"
 SPACE, NO_SPACE, CJK = chunk_sql.SPACE, chunk_sql.NO_SPACE, chunk_sql.CJK
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(fixtures.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(fixtures.ORACLE_SQL)
 
 
 def query(sql: str | None = None):
@@ -302,35 +304,99 @@ def hybrid_topk(spark, sf_dir):
 # the index
 
 
+def _index(spark: SparkSession) -> index.ParquetIndex:
+    """A new index in the folder that executors share, or, where none is named, in one of this machine's."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="textloom-")
+    return index.ParquetIndex(spark, f"{root.rstrip('/')}/textloom/index-{uuid.uuid4().hex}")
+
+
+def _whole(docs: DataFrame, source: Column | None = None) -> DataFrame:
+    """Each document as one record; they come in order of doc_id."""
+    label = F.coalesce(F.col("source"), F.lit("")) if source is None else source
+    return docs.select("text", F.lit(0).alias("start"), F.length("text").alias("end"), F.length("text").alias("token_count"), F.lit("").alias("context"), F.array(F.lit(1.0).cast("float")).alias("vector"), label.alias("source"), F.col("doc_id").alias("ord"))
+
+
 @query("SELECT source AS name, count(*)::BIGINT AS count FROM documents GROUP BY source")
 def sources(spark, sf_dir):
-    return index.list_sources(docs_of(spark, sf_dir))
+    store = _index(spark)
+    store.upsert(_whole(docs_of(spark, sf_dir)), mode="append")
+    return store.sources()
 
 
-def _whole(docs: DataFrame) -> DataFrame:
-    """Each document as one record; they come in order of doc_id."""
-    return docs.select("text", F.lit(0).alias("start"), F.length("text").alias("end"), F.length("text").alias("token_count"), F.lit("").alias("context"), F.array(F.lit(1.0).cast("float")).alias("vector"), "source", F.col("doc_id").alias("ord"))
+@query("SELECT md5(text) AS text_md5, CASE WHEN length(text) > 1000 THEN 'again' ELSE source END AS source FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id DESC) AS r FROM documents) WHERE r = 1")
+def upsert_keyed(spark, sf_dir):
+    """All documents, and those of more than 1000 characters once more under another label: each text once, with its last label."""
+    docs, store = docs_of(spark, sf_dir), _index(spark)
+    store.upsert(_whole(docs))
+    store.upsert(_whole(docs.where("length(text) > 1000"), F.lit("again")))
+    return store.records().select(F.md5(F.col("text").cast("binary")).alias("text_md5"), "source")
 
 
-@query("SELECT md5(text) AS text_md5, source FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id DESC) AS r FROM documents) WHERE r = 1")
-def upsert_dedup(spark, sf_dir):
-    docs = docs_of(spark, sf_dir)
-    made = index.upserted(_whole(docs.limit(0)), _whole(docs))
-    return made.select(F.md5(F.col("text").cast("binary")).alias("text_md5"), "source")
+@query("SELECT md5(text) AS text_md5, source FROM documents UNION ALL SELECT md5(text), 'again' FROM documents WHERE length(text) > 1000")
+def upsert_append(spark, sf_dir):
+    docs, store = docs_of(spark, sf_dir), _index(spark)
+    store.upsert(_whole(docs), mode="append")
+    store.upsert(_whole(docs.where("length(text) > 1000"), F.lit("again")), mode="append")
+    return store.records().select(F.md5(F.col("text").cast("binary")).alias("text_md5"), "source")
 
 
 @query("SELECT source AS name, count(*)::BIGINT AS count FROM documents WHERE source <> 'src0' GROUP BY source")
 def delete_source(spark, sf_dir):
-    return index.list_sources(docs_of(spark, sf_dir).where(F.col("source") != "src0"))
+    store = _index(spark)
+    store.upsert(_whole(docs_of(spark, sf_dir)), mode="append")
+    store.delete_source("src0")
+    return store.records().groupBy(F.col("source").alias("name")).agg(F.count(F.lit(1)).alias("count"))
 
 
 @query("""WITH new AS (SELECT text, source FROM documents WHERE source = 'src1' AND length(text) > 1000), kept AS (SELECT text, source FROM documents WHERE source <> 'src1')
-SELECT source AS name, count(*)::BIGINT AS count FROM (SELECT * FROM kept UNION ALL SELECT * FROM new) GROUP BY source""")
+SELECT md5(text) AS text_md5, source FROM (SELECT * FROM kept UNION ALL SELECT * FROM new)""")
 def replace_source(spark, sf_dir):
-    docs = docs_of(spark, sf_dir)
-    new = docs.where("source = 'src1' AND length(text) > 1000")
-    kept = docs.join(F.broadcast(new.select("source").distinct()), "source", "left_anti")  # the name of one source
-    return index.list_sources(kept.unionByName(new, allowMissingColumns=True))
+    docs, store = docs_of(spark, sf_dir), _index(spark)
+    store.upsert(_whole(docs), mode="append")
+    store.index(_whole(docs.where("source = 'src1' AND length(text) > 1000")).drop("ord"), source=F.col("source"), mode="append", replace=True)
+    return store.records().select(F.md5(F.col("text").cast("binary")).alias("text_md5"), "source")
+
+
+def _stored(spark, sf_dir) -> index.ParquetIndex:
+    """Token windows of all documents in an index, written in two segments."""
+    made, store = _records(spark, sf_dir).drop("doc_id", "chunk_index"), _index(spark)
+    for part in (F.col("start") < 1024, F.col("start") >= 1024):
+        store.upsert(made.where(part), mode="append")
+    return store
+
+
+@query(_ranked(score="dense", **_ONE))
+def stored_dense_by_source(spark, sf_dir):
+    return _hits(_stored(spark, sf_dir).search(QUERY, k=10, source="src3"))
+
+
+@query(_ranked(score="sparse", **_ALL))
+def stored_bm25_topk(spark, sf_dir):
+    return _hits(_stored(spark, sf_dir).search(QUERY, k=10, mode="bm25"))
+
+
+@query(_ranked(score="sparse", **_CORPUS))
+def stored_bm25_by_source_corpus(spark, sf_dir):
+    return _hits(_stored(spark, sf_dir).search(QUERY, k=10, mode="bm25", source="src3", stats_scope="corpus"))
+
+
+@query(_ranked(score="0.5 * dense + 0.5 * sparse", **_ALL))
+def stored_hybrid_topk(spark, sf_dir):
+    return _hits(_stored(spark, sf_dir).search(QUERY, k=10, mode="hybrid", weight=0.5))
+
+
+@query("SELECT label::BIGINT AS label, i AS at, round(avg(x), 5) AS mean FROM (SELECT label, unnest(range(0, len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY label, i")
+def mean_vectors(spark, sf_dir):
+    means = mean_vector(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), ["label"], "embedding")
+    return means.select(F.col("label").cast("long").alias("label"), F.posexplode("mean").alias("at", "x")).select("label", F.col("at").cast("long").alias("at"), F.round(F.col("x").cast("double"), 5).alias("mean"))
+
+
+@query()
+def byte_pair_chunks(spark, sf_dir):
+    """Windows of a public vocabulary's tokens; tests hold them against the library."""
+    import public_tokenizers as P
+
+    return _shown(_token(spark, sf_dir, tokenizer=("tiktoken", P.path("byte_bpe_50k.tiktoken"), P.PATTERN), size=200, overlap=20))
 
 
 @query(f"""WITH q AS (SELECT item_id, text AS answer, {TERMS} AS ts FROM benchmark),
@@ -352,6 +418,15 @@ def recall_mrr(spark, sf_dir):
     return evaluate.recall_mrr(evaluate.judge(cases, hits, case="item_id")).select(F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"))
 
 
+@query(ORACLE_SQL["recall_mrr"])
+def evaluation(spark, sf_dir):
+    """The same, by one plan for all queries over records."""
+    records = _whole(docs_of(spark, sf_dir), F.lit("any"))
+    cases = [{"query": r["text"], "relevant": "any", "answers": [r["text"]]} for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").collect()]  # the cases are the query
+    recall, mrr = evaluate.evaluate(records, cases, k=3, mode="bm25")
+    return spark.createDataFrame([(round(recall, 6), round(mrr, 6))], "recall double, mrr double")
+
+
 # pages
 
 

@@ -13,6 +13,7 @@ from textloom.schema import CHUNK_FIELDS, RECORD
 from textloom.sources.extract import epub_to_text, html_to_text, table_rows
 
 DEFAULT_EXTENSIONS = (".txt", ".md")
+SQLITE = (".db", ".sqlite", ".sqlite3")
 
 
 def parse_extensions(names: str = "") -> tuple[str, ...]:
@@ -116,8 +117,92 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("overwrite").option("ignoreNullFields", True).json(path)
 
 
+class JsonlIndex:
+    """An index kept as JSON Lines: each change writes all records anew beside the old ones and takes their place. For more than a few files use a Parquet index."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._jpath = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._jpath(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def records(self) -> DataFrame:
+        return read_jsonl(self.spark, self.path)
+
+    def _commit(self, rows: DataFrame) -> None:
+        import uuid
+
+        new, old = (f"{self.path}.{uuid.uuid4().hex}.{kind}" for kind in ("new", "old"))
+        write_jsonl(rows, new)
+        if self._fs.exists(self._jpath(self.path)):
+            self._fs.rename(self._jpath(self.path), self._jpath(old))
+        self._fs.rename(self._jpath(new), self._jpath(self.path))
+        self._fs.delete(self._jpath(old), True)
+
+    def upsert(self, rows: DataFrame, mode: str = "append") -> None:
+        from textloom.operators.index import upserted
+
+        if mode not in ("keyed", "append"):
+            raise ValueError(f"unknown mode {mode!r}: want keyed or append")
+        names = RECORD.fieldNames()
+        self._commit(upserted(self.records(), rows) if mode == "keyed" else self.records().select(names).unionByName(rows.select(names)))
+
+    def index(self, chunks: DataFrame, *, source: Column | str = "", embedder="hashing", mode: str = "append", replace: bool = False) -> None:
+        """Chunks become records, as in a Parquet index."""
+        from textloom.operators.embed import embed, embed_text
+
+        rows = chunks.withColumn("source", F.lit(source) if isinstance(source, str) else source)
+        if "vector" not in chunks.columns:
+            rows = embed(rows, embed_text(), embedder=embedder)
+        if replace:
+            named = [r[0] for r in rows.where("source <> ''").select("source").distinct().collect()]  # the sources of one write
+            if named:
+                self._commit(self.records().where(~F.col("source").isin(named)))
+        self.upsert(rows, mode)
+
+    def sources(self) -> DataFrame:
+        from textloom.operators.index import list_sources
+
+        return list_sources(self.records())
+
+    def delete_source(self, source: str) -> int:
+        n = self.records().where(F.col("source") == source).count()
+        if n:
+            self._commit(self.records().where(F.col("source") != source))
+        return n
+
+    def search(self, query: str, **options) -> DataFrame:
+        from textloom.operators.index import search
+
+        return search(self.records(), query, **options)
+
+
+def read_sqlite(spark: SparkSession, path: str) -> DataFrame:
+    """Records of SQLite indexes: tables `records` of text, start, end, context, token_count, vector (32-bit floats, low byte first) and perhaps source. A file is read in one task, within its memory."""
+    import sqlite3
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for b in batches:
+            for raw in b.column("content").to_pylist():
+                con = sqlite3.connect(":memory:")
+                con.deserialize(raw)
+                names = {r[1] for r in con.execute("PRAGMA table_info(records)")}
+                rows = con.execute(f"SELECT text, start, end, token_count, context, vector, {'source' if 'source' in names else repr('')} FROM records ORDER BY start")
+                while some := rows.fetchmany(4096):
+                    text, start, end, tokens, context, vector, source = zip(*some, strict=True)
+                    floats = [np.frombuffer(v, "<f4") for v in vector]
+                    yield pa.RecordBatch.from_arrays([pa.array(text), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(tokens, pa.int32()), pa.array(context), pa.array(floats, pa.list_(pa.float32())), pa.array(source)], names=RECORD.fieldNames())
+                con.close()
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
+
+
 def open_index(spark: SparkSession, path: str):
-    """A JSON Lines file is read only; any other path is a Parquet index."""
+    """By extension: JSON Lines, a SQLite file as a frame of its records (to be searched, or put into another index), or a Parquet index."""
     from textloom.operators.index import ParquetIndex
 
-    return read_jsonl(spark, path) if path.lower().endswith((".jsonl", ".json")) else ParquetIndex(spark, path)
+    low = path.lower()
+    if low.endswith(SQLITE):
+        return read_sqlite(spark, path)
+    return JsonlIndex(spark, path) if low.endswith((".jsonl", ".json")) else ParquetIndex(spark, path)
