@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -17,6 +20,8 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 20
 #: Text in one Arrow batch between the JVM and a Python worker.
 BATCH_BYTES = 8 << 20
+#: Bytes of a written table that a task holds before it writes them.
+ROW_GROUP = 16 << 20
 #: Rows handled at once inside a kernel, however short.
 SLICE_ROWS = 1 << 15
 #: Rows of ids or short keys that are broadcast at most; some 20 MB.
@@ -24,9 +29,11 @@ SENT_ROWS = 1 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir. Only where it is unset (tests), a local one is set."""
+    """The folder all executors see: spark.checkpoint.dir. Only where it is unset on one machine (tests), a local one is set."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
         root = "file://" + os.path.join(tempfile.gettempdir(), f"textloom-{uuid.uuid4().hex}")
         spark.sparkContext.setCheckpointDir(root)
         spark.conf.set("spark.checkpoint.dir", root)
@@ -40,24 +47,44 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_BYTES)
 
 
+_made: list[Workspace] = []
+
+
+def made() -> int:
+    """How many workspaces there are: a mark for release()."""
+    return len(_made)
+
+
+def release(since: int = 0) -> None:
+    """Deletes the workspaces made after the mark; what was built on their tables must be written by then. The rest go as the driver ends."""
+    while len(_made) > since:
+        ws = _made.pop()
+        with contextlib.suppress(Exception):  # the session may be gone already
+            ws.drop("")
+
+
+atexit.register(release)
+
+
 class Workspace:
     """A fresh folder under the shared root; tables written there cut lineage, so a lost executor costs one stage at most."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_root(spark)}/textloom/{name}-{uuid.uuid4().hex}"
         bound_batches(spark)
+        _made.append(self)
         # the shuffles of a query are deleted as it ends, so that the next table finds the room
         spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", True)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         schema = df.schema
-        df.write.parquet(f"{self.path}/{name}", compression="zstd")
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(f"{self.path}/{name}", compression="zstd")
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:
         jvm = self.spark._jvm
         for name in names:
-            p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+            p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 

@@ -14,7 +14,9 @@ a dummy prefix and byte fallback is covered; other models raise ValueError.
 
 Edge cases: null text is empty; an empty text is the begin and end ids alone;
 unknown characters fall back to bytes; a very long word takes as many rounds as
-it has different ranks; null or repeated ids stay as they are.
+it has different ranks, a very long text is many words; equal pairs merge from the left;
+null or repeated ids and repeated rows stay as they are; only the named columns are
+read, so no other can clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations

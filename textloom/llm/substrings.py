@@ -1,9 +1,11 @@
 """Operator 10, substring removal by suffix automata of reference shards.
 
 A word is removed if a window of `window` words that covers it also starts in a
-document with a smaller id. The reference of that question is the corpus itself,
-so its shards are not sent to every executor: they are keyed by anchors, and a
-shard holds all text that could match there.
+document with a smaller id. The reference of that question is the corpus itself. As one
+broadcast automaton a shard of a million words takes 300 MB and each word streamed
+through it a microsecond, and every document must pass every shard, so time would grow
+with the square of the corpus (the README has the figures). So the shards are keyed by
+anchors instead, and a shard holds all text that could match there.
 
 An anchor of a window is the least hash of its `gram`-word grams; equal windows
 have equal anchors. Anchors found in one document only are dropped (a join on
@@ -19,8 +21,10 @@ before they are moved.
 
 Edge cases: null text has no words; null ids count as one document before all
 others; rows with equal ids are one document, so they lose nothing to each other;
-texts of fewer words than the window lose nothing; an empty table gives an empty
-result; other columns stay untouched.
+repeated rows lose the same words; of equal windows the one in the least id stays, and
+within one document all do; very long texts are cut into segments like others; texts of
+fewer words than the window lose nothing; an empty table gives an empty result; other
+columns stay untouched, whatever their names (but those that begin with "__").
 """
 
 from __future__ import annotations

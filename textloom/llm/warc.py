@@ -14,7 +14,10 @@ read through pyarrow.fs in the shared folder.
 
 Edge cases: null payload is empty; a null page id is written as an empty field and
 read back as null; rows with one page id and one payload are all responses, or all
-revisits; an empty table makes no bundle; url may be null and is escaped.
+revisits, and such responses, being one record written twice, share their record id
+(revisits never do); the largest page id has no ties but these; a very long payload is a
+frame of its own; an empty table makes no bundle; url may be null and is escaped; only
+the id, the url and the payload are read, so no other column can clash.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -50,7 +54,7 @@ def base32(digest: bytes) -> str:
 
 def make_record(page_id: int | None, url: str | None, payload: bytes, digest: bytes, refers_to: int | None, revisit: bool, date: str) -> tuple[str, bytes]:
     """(record id, the record's bytes)."""
-    own = record_id(page_id, digest)
+    own = f"urn:uuid:{uuid.uuid4()}" if revisit else record_id(page_id, digest)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
     head = [
@@ -127,8 +131,9 @@ def read_frame(f: pa.NativeFile, offset: int, packed: int, plain: int) -> bytes:
     return data
 
 
-def write_archives(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit_bytes: int = 0, frame_bytes: int = 256 << 10, bundle_bytes: int = 256 << 20, level: int = 3, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """Writes a record for each row and returns the index."""
+def write_archives(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit_bytes: int = 0, frame_bytes: int = 256 << 10, bundle_bytes: int = 256 << 20, level: int = 3, date: str | None = None) -> DataFrame:
+    """Writes a record for each row and returns the index. date: of all records; now, if not given."""
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     ws = Workspace(pages.sparkSession, "warc")
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"), F.unhex(F.sha1(payload)).alias("digest"))
