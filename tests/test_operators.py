@@ -187,6 +187,17 @@ def test_index_writes(spark, tmp_path):
     assert missing.sources().count() == 0 and missing.delete_source("x") == 0 and missing.search("x", mode="bm25").count() == 0
 
 
+def test_index_merges(spark, tmp_path, monkeypatch):
+    assert index.newest([{"rows": n} for n in (1000, 10, 3, 2, 2)]) == 3 and index.newest([{"rows": 1}]) == 1 and index.newest([{"rows": 5}, {"rows": 9}]) == 2
+    monkeypatch.setattr(index, "MERGE_AT", 3)
+    store = index.ParquetIndex(spark, f"file://{tmp_path}/index")
+    for i in range(8):
+        store.upsert(records(spark, [(f"t{i}", j, "", [1.0], f"s{i}") for j in range(2)]))
+        assert len(store._segments()) <= 4
+    assert store.records().count() == 16 and sum(s["rows"] for s in store._segments()) == 16
+    assert {r.text for r in store.search("t5", k=2, mode="bm25", vector=[1.0]).collect()} == {"t5"}
+
+
 def test_other_stores(spark, tmp_path):
     import sqlite3
     import struct

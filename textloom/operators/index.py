@@ -5,8 +5,10 @@ manifest before or after it. Deleting a source marks it in the manifest, so noth
 is rewritten; a keyed write rewrites only the segments that hold one of its chunks.
 Each segment keeps, beside its records, what a sparse search needs: postings sorted
 by term and the sizes of its sources, so that a search reads the query's terms alone.
-Many small segments are merged by `compact()`, and what the last `KEPT` manifests
-don't name is deleted.
+When there are many, the newest are merged until the next older one is larger than
+all of them, so a record is rewritten a number of times that grows with the logarithm
+of the index; `compact()` merges all. What the last `KEPT` manifests don't name is
+deleted.
 
 With `keyed` writes a chunk is known by (text, start, end): the last one given stays,
 with its source. The order of given rows is that of their column `ord`, or else that
@@ -61,7 +63,7 @@ class ParquetIndex:
         return sorted(int(n[1:-5]) for n in names if n[:1] == "v" and n.endswith(".json") and n[1:-5].isdigit())
 
     def _segments(self, number: int | None = None) -> list[dict]:
-        """[{name, gone}]: segments, the oldest first, and the sources that are deleted from each."""
+        """[{name, gone, rows}]: segments, the oldest first, the sources that are deleted from each, and the rows it was written with."""
         if number is None:
             numbers = self._numbers()
             if not numbers:
@@ -127,12 +129,14 @@ class ParquetIndex:
         counted.repartition(parts, "term").sortWithinPartitions("term").write.parquet(f"{self.path}/{name}/postings", compression="zstd")
         sized.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").cast("long").alias("dl")).coalesce(1).write.parquet(f"{self.path}/{name}/sizes")
 
-    def _checked(self, name: str) -> None:
+    def _checked(self, name: str) -> int:
+        """The number of records of a written segment; one with a vector that can't be is deleted."""
         rows = self._stored({"name": name, "gone": []})
-        bad = rows.agg(F.max((F.size("vector") < 1).cast("int")).alias("empty"), F.max(F.exists("vector", lambda x: F.isnan(x) | (F.abs(x) == float("inf"))).cast("int")).alias("odd")).first()
+        bad = rows.agg(F.count(F.lit(1)).alias("n"), F.max((F.size("vector") < 1).cast("int")).alias("empty"), F.max(F.exists("vector", lambda x: F.isnan(x) | (F.abs(x) == float("inf"))).cast("int")).alias("odd")).first()
         if bad["empty"] or bad["odd"]:
             self._fs.delete(self._jpath(f"{self.path}/{name}"), True)
             raise ValueError("every record needs a vector" if bad["empty"] else "a vector holds NaN or an infinity")
+        return bad["n"]
 
     def _put(self, rows: DataFrame, mode: str, replace: bool) -> None:
         if mode not in ("keyed", "append"):
@@ -142,8 +146,7 @@ class ParquetIndex:
         if mode == "keyed" and "ord" in rows.columns:
             rows = rows.orderBy(F.col("ord").cast("long"))  # so that rid is in this order
         name = self._write(rows)
-        self._checked(name)
-        new = {"name": name, "gone": []}
+        new = {"name": name, "gone": [], "rows": self._checked(name)}
         if replace:
             named = [r[0] for r in self._stored(new).where("source <> ''").select("source").distinct().collect()]  # the sources of one write
             segments = [{**s, "gone": sorted({*s["gone"], *named})} for s in segments]
@@ -152,13 +155,12 @@ class ParquetIndex:
         self._index_terms(new["name"])
         self._commit(numbers[-1] if numbers else 0, [*segments, new])
         if len(segments) >= MERGE_AT:
-            self.compact()
+            self._merge(newest([*segments, new]))
 
     def _keyed(self, segments: list[dict], new: dict) -> tuple[list[dict], dict]:
         """(the segments that hold no chunk of the new one, the new one with the rest of the others, each chunk once)."""
-        rows = self._stored(new)
+        rows, count = self._stored(new), new["rows"]
         keys = rows.select("chunk_key").distinct()
-        count = rows.count()
         old = self._union(segments, "records", STORED)
         met = {r[0] for r in old.select("segment", "chunk_key").join(_sized(keys, count), "chunk_key", "left_semi").select("segment").distinct().collect()}
         if not met and keys.count() == count:
@@ -167,7 +169,7 @@ class ParquetIndex:
         last = rows.withColumn("__r", F.row_number().over(Window.partitionBy("chunk_key").orderBy(F.desc("rid")))).where("__r = 1")
         name = self._write(kept.select(*COLUMNS).unionByName(last.select(*COLUMNS)))
         self._fs.delete(self._jpath(f"{self.path}/{new['name']}"), True)
-        return [s for i, s in enumerate(segments) if i not in met], {"name": name, "gone": []}
+        return [s for i, s in enumerate(segments) if i not in met], {"name": name, "gone": [], "rows": count + sum(s["rows"] for i, s in enumerate(segments) if i in met)}
 
     # what users call
 
@@ -187,12 +189,18 @@ class ParquetIndex:
 
     def compact(self) -> None:
         """All segments as one."""
-        numbers = self._numbers()
-        segments = self._segments(numbers[-1]) if numbers else []
+        segments = self._segments()
         if len(segments) > 1 or any(s["gone"] for s in segments):
-            name = self._write(self.records())
-            self._index_terms(name)
-            self._commit(numbers[-1], [{"name": name, "gone": []}])
+            self._merge(len(segments))
+
+    def _merge(self, count: int) -> None:
+        """The newest `count` segments as one."""
+        numbers = self._numbers()
+        segments = self._segments(numbers[-1])
+        merged = segments[len(segments) - count :]
+        name = self._write(self._union(merged, "records", STORED).select(*COLUMNS))
+        self._index_terms(name)
+        self._commit(numbers[-1], [*segments[: len(segments) - count], {"name": name, "gone": [], "rows": sum(s["rows"] for s in merged)}])
 
     def sources(self) -> DataFrame:
         sizes = self._union(self._segments(), "sizes", SIZES)
@@ -241,6 +249,16 @@ class ParquetIndex:
         return best(found.withColumn("score", share if mode == "bm25" else scoring.blend(_dense(query, embedder, vector), share, weight)), k)
 
 
+def newest(segments: list[dict]) -> int:
+    """How many of the newest segments to merge: until the next older one is larger than all of them."""
+    count = total = 0
+    for s in reversed(segments):
+        if count >= 2 and s["rows"] > total:
+            break
+        count, total = count + 1, total + s["rows"]
+    return count
+
+
 def upserted(old: DataFrame, new: DataFrame) -> DataFrame:
     """Both, with the last row of each (text, start, end); the new rows' order is that of their column `ord`, or else that in which Spark reads them."""
     order = F.col("ord").cast("long") if "ord" in new.columns else F.monotonically_increasing_id()

@@ -357,7 +357,7 @@ def replace_source(spark, sf_dir):
     return store.records().select(F.md5(F.col("text").cast("binary")).alias("text_md5"), "source")
 
 
-def _stored(spark, sf_dir) -> index.ParquetIndex:
+def stored_index(spark, sf_dir) -> index.ParquetIndex:
     """Token windows of all documents in an index, written in two segments."""
     made, store = _records(spark, sf_dir).drop("doc_id", "chunk_index"), _index(spark)
     for part in (F.col("start") < 1024, F.col("start") >= 1024):
@@ -367,22 +367,22 @@ def _stored(spark, sf_dir) -> index.ParquetIndex:
 
 @query(_ranked(score="dense", **_ONE))
 def stored_dense_by_source(spark, sf_dir):
-    return _hits(_stored(spark, sf_dir).search(QUERY, k=10, source="src3"))
+    return _hits(stored_index(spark, sf_dir).search(QUERY, k=10, source="src3"))
 
 
 @query(_ranked(score="sparse", **_ALL))
 def stored_bm25_topk(spark, sf_dir):
-    return _hits(_stored(spark, sf_dir).search(QUERY, k=10, mode="bm25"))
+    return _hits(stored_index(spark, sf_dir).search(QUERY, k=10, mode="bm25"))
 
 
 @query(_ranked(score="sparse", **_CORPUS))
 def stored_bm25_by_source_corpus(spark, sf_dir):
-    return _hits(_stored(spark, sf_dir).search(QUERY, k=10, mode="bm25", source="src3", stats_scope="corpus"))
+    return _hits(stored_index(spark, sf_dir).search(QUERY, k=10, mode="bm25", source="src3", stats_scope="corpus"))
 
 
 @query(_ranked(score="0.5 * dense + 0.5 * sparse", **_ALL))
 def stored_hybrid_topk(spark, sf_dir):
-    return _hits(_stored(spark, sf_dir).search(QUERY, k=10, mode="hybrid", weight=0.5))
+    return _hits(stored_index(spark, sf_dir).search(QUERY, k=10, mode="hybrid", weight=0.5))
 
 
 @query("SELECT label::BIGINT AS label, i AS at, round(avg(x), 5) AS mean FROM (SELECT label, unnest(range(0, len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY label, i")
