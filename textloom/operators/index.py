@@ -214,8 +214,8 @@ class ParquetIndex:
             self._commit(numbers[-1], [{**s, "gone": sorted({*s["gone"], source})} for s in segments])
         return n
 
-    def sparse_scores(self, query: str, *, source: str | None = None, stats_scope: str = "filtered") -> DataFrame:
-        """(segment, rid, s) of the records that hold a term of the query, from the stored postings; s is not normalised."""
+    def sparse_scores(self, query: str, *, source: str | None = None, stats_scope: str = "filtered") -> tuple[DataFrame, int]:
+        """(segment, rid, s) of the records that hold a term of the query, from the stored postings, and how many they are at most; s is not normalised."""
         segments = self._segments()
         terms = list(scoring.distinct_terms(query))
         of = (lambda df: df) if source is None else (lambda df: df.where(F.col("source") == source))
@@ -228,7 +228,7 @@ class ParquetIndex:
         for t in terms:
             part = scoring.idf(F.lit(n), F.lit(df.get(t, 0))) * scoring.term_weight(F.col("tf"), F.col("dl"), F.lit((sizes["dl"] or 0) / max(n, 1)))
             weight = F.when(F.col("term") == t, part).otherwise(weight)
-        return of(hit).groupBy("segment", "rid").agg(F.sum(weight).alias("s"))
+        return of(hit).groupBy("segment", "rid").agg(F.sum(weight).alias("s")), sum(df.values())
 
     def search(self, query: str, *, k: int = 5, mode: str = "dense", weight: float = 0.5, source: str | None = None, stats_scope: str = "filtered", embedder: str | Callable = "hashing", vector: Sequence[float] | None = None) -> DataFrame:
         """The k best records; see search(). Sparse scores come from the stored postings."""
@@ -237,14 +237,14 @@ class ParquetIndex:
         rows = stored if source is None else stored.where(F.col("source") == source)
         if mode == "dense":
             return best(rows.withColumn("score", _dense(query, embedder, vector)), k)
-        sparse = self.sparse_scores(query, source=source, stats_scope=stats_scope)
+        sparse, most = self.sparse_scores(query, source=source, stats_scope=stats_scope)
         top = [r["s"] for r in sparse.select("s").orderBy(F.desc("s")).limit(k).collect()]
         if mode == "bm25" and len(top) == k:
             # nothing else can be among them: the last score and what equals it
             sparse = sparse.where(F.col("s") >= top[-1] * (1 - 1e-12))
-            found = rows.join(_sized(sparse, sparse.count()), ["segment", "rid"])
+            found = rows.join(_sized(sparse, most), ["segment", "rid"])
         else:
-            found = rows.join(_sized(sparse, sparse.count()), ["segment", "rid"], "left")
+            found = rows.join(_sized(sparse, most), ["segment", "rid"], "left")
         share = F.coalesce(F.col("s"), F.lit(0.0)) / F.lit(top[0] if top else 1.0)
         return best(found.withColumn("score", share if mode == "bm25" else scoring.blend(_dense(query, embedder, vector), share, weight)), k)
 
