@@ -27,17 +27,27 @@ def pattern_of(delimiters: Sequence[str]) -> str:
     return f"(?s).*?(?:{marks})|(?s).+\\z"
 
 
-def packed(name: str, source: str, pieces: str, size: int, ruler: str) -> str:
-    """CTEs: {name}_p has the pieces of the spans (doc_id, k, a, part) of source, {name}_g the packed runs (doc_id, k, a, part, tokens)."""
+def packed(name: str, source: str, pieces: str, size: int, ruler: str, breaks: str = "") -> str:
+    """CTEs: {name}_p has the pieces of the spans (doc_id, k, a, part) of source, {name}_g the packed runs (doc_id, k, a, part, tokens).
+
+    breaks: further CTEs, that give {name}_b (doc_id, i): pieces at which a run begins anyway.
+    """
+    over = f"r.tally + p.w > {size}" + (" OR p.broken" if breaks else "")
+    if breaks:
+        name_q = f"""{breaks},
+{name}_q AS (SELECT p.*, b.i IS NOT NULL AS broken FROM {name}_p p LEFT JOIN {name}_b b ON b.doc_id = p.doc_id AND b.i = p.i)"""
+        rows = f"{name}_q"
+    else:
+        name_q, rows = "", f"{name}_p"
     return f"""
 {name}_u AS (SELECT doc_id, k, a AS pa, part, {pieces} AS p FROM {source}),
 {name}_v AS (SELECT doc_id, k, pa, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS t FROM {name}_u),
-{name}_p AS (SELECT *, {count_of("t", ruler)} AS w, pa + sum(length(t)) OVER (PARTITION BY doc_id, k, pa ORDER BY i) - length(t) AS a FROM {name}_v),
+{name}_p AS (SELECT *, {count_of("t", ruler)} AS w, pa + sum(length(t)) OVER (PARTITION BY doc_id, k, pa ORDER BY i) - length(t) AS a FROM {name}_v),{name_q + "," if name_q else ""}
 {name}_r AS (
-  SELECT doc_id, k, pa, i, 0 AS run, w::BIGINT AS tally FROM {name}_p WHERE i = 1
+  SELECT doc_id, k, pa, i, 0 AS run, w::BIGINT AS tally FROM {rows} WHERE i = 1
   UNION ALL
-  SELECT p.doc_id, p.k, p.pa, p.i, CASE WHEN r.tally + p.w > {size} THEN r.run + 1 ELSE r.run END, CASE WHEN r.tally + p.w > {size} THEN p.w ELSE r.tally + p.w END
-  FROM {name}_r r JOIN {name}_p p ON p.doc_id = r.doc_id AND p.k = r.k AND p.pa = r.pa AND p.i = r.i + 1),
+  SELECT p.doc_id, p.k, p.pa, p.i, CASE WHEN {over} THEN r.run + 1 ELSE r.run END, CASE WHEN {over} THEN p.w ELSE r.tally + p.w END
+  FROM {name}_r r JOIN {rows} p ON p.doc_id = r.doc_id AND p.k = r.k AND p.pa = r.pa AND p.i = r.i + 1),
 {name}_g AS (SELECT doc_id, k, min(a) AS a, string_agg(t, '' ORDER BY i) AS part, sum(w) AS tokens FROM {name}_r JOIN {name}_p USING (doc_id, k, pa, i) GROUP BY doc_id, k, pa, run)"""
 
 
@@ -111,3 +121,28 @@ def table_sql(size: int) -> str:
     """Of documents without tables: whole texts, or windows of tokens."""
     return f"""WITH chunks AS (SELECT doc_id, k * {size} AS a, least((k + 1) * {size}, length(text)) AS b, b - a AS tokens FROM (SELECT *, unnest(range(0, ceil(length(text) / {size}.0)::BIGINT)) AS k FROM documents))
 SELECT {SHOWN} FROM chunks"""
+
+
+def semantic_sql(size: int, delimiters: Sequence[str], terms: str, slots: str, least: float = 0.5, window: int = 1) -> str:
+    """Sentences packed to size, but not across the lowest cut point of each run of them under `least`.
+
+    The similarity of a cut point is the cosine of the summed term vectors of the `window`
+    sentences before and after it. terms: the terms of a column text; slots: CTEs from
+    t (doc_id, i, term) to slots (term, slot).
+    """
+    breaks = f"""
+t AS (SELECT doc_id, i, unnest({terms}) AS term FROM (SELECT doc_id, i, t AS text FROM s_p)), {slots},
+v AS (SELECT doc_id, i, slot, count(*)::DOUBLE AS n FROM t JOIN slots USING (term) GROUP BY ALL),
+last AS (SELECT doc_id, max(i) AS m FROM s_p GROUP BY doc_id),
+points AS (SELECT p.doc_id, p.i FROM s_p p JOIN last USING (doc_id) WHERE p.i > {window} AND p.i + {window} - 1 <= m),
+side_a AS (SELECT q.doc_id, q.i, slot, sum(n) AS n FROM points q JOIN v ON v.doc_id = q.doc_id AND v.i >= q.i - {window} AND v.i < q.i GROUP BY ALL),
+side_b AS (SELECT q.doc_id, q.i, slot, sum(n) AS n FROM points q JOIN v ON v.doc_id = q.doc_id AND v.i >= q.i AND v.i < q.i + {window} GROUP BY ALL),
+norms AS (SELECT doc_id, i, max(x) AS x, max(y) AS y FROM (SELECT doc_id, i, sum(n * n) AS x, 0 AS y FROM side_a GROUP BY ALL UNION ALL SELECT doc_id, i, 0, sum(n * n) FROM side_b GROUP BY ALL) GROUP BY ALL),
+dots AS (SELECT a.doc_id, a.i, sum(a.n * b.n) AS d FROM side_a a JOIN side_b b USING (doc_id, i, slot) GROUP BY ALL),
+sims AS (SELECT q.doc_id, q.i, CASE WHEN x > 0 AND y > 0 THEN round(coalesce(d, 0) / sqrt(x * y), 9) ELSE 0 END AS sim FROM points q LEFT JOIN norms USING (doc_id, i) LEFT JOIN dots USING (doc_id, i)),
+low AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS stretch FROM sims WHERE sim < {least}),
+s_b AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, stretch ORDER BY sim, i) AS r FROM low) WHERE r = 1)"""
+    return f"""WITH RECURSIVE docs AS (SELECT doc_id, 0 AS k, 0::BIGINT AS a, text AS part FROM documents WHERE text <> ''),{packed("s", "docs", f"regexp_extract_all(part, '{pattern_of(delimiters)}')", size, "character", breaks)},
+long AS (SELECT doc_id, a AS k, a, part FROM s_g WHERE tokens > {size}),{levels("x", "long", FALLBACK_RULES, size, "character")},
+chunks AS (SELECT doc_id, a, b, tokens FROM x_m UNION ALL SELECT doc_id, a, a + length(part), tokens FROM s_g WHERE tokens <= {size})
+SELECT {SHOWN} FROM chunks"""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from textloom.functions import columns
 from textloom.functions.classes import SENTENCE_DELIMITERS
 from textloom.operators import chunkers, evaluate, index, refine, scoring, validate, visualize
-from textloom.operators.embed import cosine_to, hash_texts, hashing_counts, hashing_vector, mean_vector
+from textloom.operators.embed import cosine_to, hashing_counts, hashing_vector, mean_vector
 from textloom.plans import chunk_sql, fixtures
 from textloom.sources import readers
 
@@ -160,6 +160,10 @@ def merge_justified(spark, sf_dir):
     return _shown(refine.merge(_token(spark, sf_dir, size=512), 32, "justified"))
 
 
+_SLOTS = """terms AS (SELECT DISTINCT term FROM t),
+slots AS (SELECT term, (list_reduce(list_prepend(2166136261::HUGEINT, list_transform(range(0, strlen(term)), lambda i: ('0x' || substr(hex(encode(term)), (2 * i + 1)::BIGINT, 2))::HUGEINT)), lambda h, b: (xor(h::UBIGINT, b::UBIGINT)::HUGEINT * 16777619) % 4294967296) % 64)::BIGINT AS slot FROM terms)"""
+
+
 # chunkers that split and pack: a row for each chunk with its place and size
 
 
@@ -176,7 +180,8 @@ for _name, _query, _options, _sql in (
     ("sentence", "sentence_packing", {"size": 2048}, chunk_sql.sentence_sql(2048, SENTENCE_DELIMITERS)), ("fast", "fast_chunks", {"size": 400}, chunk_sql.fast_sql(400)),
     # documents hold neither tables nor fences: these are the prose paths, the others are in fixtures
     ("table", "table_chunks", {}, chunk_sql.table_sql(512)), ("markdown", "markdown_chunks", {}, chunk_sql.recursive_sql(512)),
-    ("code", "code_chunks", {}, None), ("semantic", "semantic_chunks", {"window": 2}, None),
+    ("code", "code_chunks", {}, None),
+    ("semantic", "semantic_chunks", {"window": 2}, chunk_sql.semantic_sql(512, SENTENCE_DELIMITERS, TERMS, _SLOTS, 0.5, 2)), ("semantic", "semantic_boundaries", {"size": 1000, "min_sim": 0.35, "window": 3}, chunk_sql.semantic_sql(1000, SENTENCE_DELIMITERS, TERMS, _SLOTS, 0.35, 3)),
 ):
     QUERIES[_query] = _placed(_name, **_options)
     if _sql:
@@ -216,9 +221,6 @@ def chunk_layout(spark, sf_dir):
 
 # vectors and search
 
-_SLOTS = """terms AS (SELECT DISTINCT term FROM t),
-slots AS (SELECT term, (list_reduce(list_prepend(2166136261::HUGEINT, list_transform(range(0, strlen(term)), lambda i: ('0x' || substr(hex(encode(term)), (2 * i + 1)::BIGINT, 2))::HUGEINT)), lambda h, b: (xor(h::UBIGINT, b::UBIGINT)::HUGEINT * 16777619) % 4294967296) % 64)::BIGINT AS slot FROM terms)"""
-
 
 @query(f"""WITH t AS (SELECT doc_id, unnest({TERMS}) AS term FROM documents), {_SLOTS}
 SELECT doc_id, slot, count(*)::BIGINT AS n FROM t JOIN slots USING (term) GROUP BY doc_id, slot""")
@@ -439,13 +441,8 @@ def html_text(spark, sf_dir):
     return readers.html_text(spark.read.parquet(f"{sf_dir}/pages.parquet"), keep=["page_id"])
 
 
-@query()
+@query(chunk_sql.recursive_sql(300, table=f"(SELECT page_id AS doc_id, text FROM ({ORACLE_SQL['html_text']}))"))
 def html_markdown_chunks(spark, sf_dir):
     """Pages as text, in chunks: the paragraphs bring the blank lines that documents lack."""
     pages = readers.html_text(spark.read.parquet(f"{sf_dir}/pages.parquet"), keep=["page_id"])
-    return chunkers.chunk(pages, "markdown", size=300)
-
-
-@query()
-def semantic_boundaries(spark, sf_dir):
-    return chunkers.chunk(docs_of(spark, sf_dir), "semantic", keep=["doc_id"], size=1000, min_sim=0.35, window=3, embed=hash_texts)
+    return _shown(chunkers.chunk(pages.withColumnRenamed("page_id", "doc_id"), "markdown", size=300)).drop("text", "context")
