@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,14 +11,14 @@ from textloom.functions import columns
 from textloom.functions.classes import SENTENCE_DELIMITERS
 from textloom.operators import chunkers, evaluate, index, refine, scoring, validate, visualize
 from textloom.operators.embed import cosine_to, hashing_counts, hashing_vector, mean_vector
-from textloom.plans import chunk_sql, fixtures
+from textloom.plans import chunk_sql, surface
 from textloom.sources import readers
 
 QUERY = "the tion of and there"
 SPACE, NO_SPACE, CJK = chunk_sql.SPACE, chunk_sql.NO_SPACE, chunk_sql.CJK
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(fixtures.QUERIES)
-ORACLE_SQL: dict[str, str] = dict(fixtures.ORACLE_SQL)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(surface.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(surface.ORACLE_SQL)
 
 
 def query(sql: str | None = None):
@@ -180,7 +178,7 @@ for _name, _query, _options, _sql in (
     ("sentence", "sentence_packing", {"size": 2048}, chunk_sql.sentence_sql(2048, SENTENCE_DELIMITERS)), ("fast", "fast_chunks", {"size": 400}, chunk_sql.fast_sql(400)),
     # documents hold neither tables nor fences: these are the prose paths, the others are in fixtures
     ("table", "table_chunks", {}, chunk_sql.table_sql(512)), ("markdown", "markdown_chunks", {}, chunk_sql.recursive_sql(512)),
-    ("code", "code_chunks", {}, None),
+    ("code", "code_chunks", {"lang": "go"}, chunk_sql.table_sql(512)), ("code", "code_chunks_detected", {}, None),
     ("semantic", "semantic_chunks", {"window": 2}, chunk_sql.semantic_sql(512, SENTENCE_DELIMITERS, TERMS, _SLOTS, 0.5, 2)), ("semantic", "semantic_boundaries", {"size": 1000, "min_sim": 0.35, "window": 3}, chunk_sql.semantic_sql(1000, SENTENCE_DELIMITERS, TERMS, _SLOTS, 0.35, 3)),
 ):
     QUERIES[_query] = _placed(_name, **_options)
@@ -307,9 +305,7 @@ def hybrid_topk(spark, sf_dir):
 
 
 def _index(spark: SparkSession) -> index.ParquetIndex:
-    """A new index in the folder that executors share, or, where none is named, in one of this machine's."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="textloom-")
-    return index.ParquetIndex(spark, f"{root.rstrip('/')}/textloom/index-{uuid.uuid4().hex}")
+    return index.ParquetIndex(spark, surface.scratch(spark))
 
 
 def _whole(docs: DataFrame, source: Column | None = None) -> DataFrame:
