@@ -72,6 +72,15 @@ def test_pieces_query(spark, awkward, empty, library):
         pieces.PieceCodec(b"")
 
 
+def test_pieces_of_documents(spark, sf, documents, library):
+    got = {r.doc_id: r for r in pieces.op3_sentencepiece(spark, sf).collect()}
+    assert len(got) == len(documents)
+    for i, text in zip(documents.doc_id, documents.text):
+        ids = library.encode(text or "", add_bos=True, add_eos=True)
+        want = len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest()
+        assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == want
+
+
 def test_fingerprint_pairs(spark, awkward, empty):
     got = fingerprint.compare_edited(awkward).collect()
     rows = sorted(((r.doc_id is not None, r.doc_id or 0, r.text or "", r.doc_id) for r in awkward.collect()))
