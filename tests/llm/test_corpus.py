@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from textloom.llm import common, components, jaccard, language, quality, substrings, warc
+from textloom.llm import common, components, jaccard, language, substrings, warc
 
 
 def test_warc(spark, sf, awkward, empty):

@@ -101,12 +101,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, th, text): null texts become empty; th tells rows apart that share an id."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
-
-
 def binaries(column: pa.Array) -> list[bytes]:
     """UTF-8 of each value, nulls as empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
