@@ -54,6 +54,7 @@ class ParquetIndex:
         self._jpath = jvm.org.apache.hadoop.fs.Path
         self._conf = spark._jsc.hadoopConfiguration()
         self._fs = self._jpath(self.path).getFileSystem(self._conf)
+        self.path = self._fs.makeQualified(self._jpath(self.path)).toString()
 
     # manifests
 
