@@ -459,7 +459,7 @@ def test_licenses_wrapped(spark):
 
 
 def test_rollup(spark, tmp_path):
-    store = rollup.TokenRollup(spark, f"file://{tmp_path}/store")
+    store = rollup.TokenRollup(spark, f"{tmp_path}/store")  # a path without its file system
     make = lambda *rows: spark.createDataFrame(list(rows), "kind string, source string, lang string, tokenizer string, tokens long, old_tokens long")
     total = lambda: {(r.source, r.lang, r.tokenizer): (r.docs, r.tokens) for r in store.totals().collect()}
     assert total() == {}

@@ -37,7 +37,14 @@ def shared_root(spark: SparkSession) -> str:
         root = "file://" + os.path.join(tempfile.gettempdir(), f"textloom-{uuid.uuid4().hex}")
         spark.sparkContext.setCheckpointDir(root)
         spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    return qualified(spark, root)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, which is Spark's default one where it names none; what isn't Spark can then read it too."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return re.sub("^file:/+", "file:///", whole).rstrip("/")
 
 
 def bound_batches(spark: SparkSession) -> None:

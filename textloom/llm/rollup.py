@@ -43,7 +43,7 @@ RUN_OF_SPACES = re.compile(r"\s\s")
 
 class TokenRollup:
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+        self.spark, self.path = spark, common.qualified(spark, path)
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _path(self, path: str):
