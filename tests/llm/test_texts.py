@@ -333,6 +333,13 @@ def test_language_equals_sets(documents, spark, sf):
         assert abs(max(shares.values()) - c) < 0.01 and shares[lang] > max(shares.values()) - 0.01
 
 
+def test_language_of_short_texts(spark):
+    docs = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate([("the cat and the dog", "en"), ("le chat et le chien", "fr")] * 3)], "doc_id long, text string, lang string")
+    filters = language.learn(docs)
+    lang, score, cover = filters.judge(["cat", "le", "chat", "q", "123", ""])
+    assert lang == ["en", "fr", "fr", "en", "und", "und"] and score.tolist() == [1, 1, 1, 0, 0, 0] and cover[0] == 1
+
+
 def test_language_clashing(awkward):
     filters = language.learn(awkward)
     got = language.predict(awkward, filters)

@@ -11,7 +11,8 @@ filter of its own, and filters are or-ed, so what moves and what is sent are `sl
 bytes for each eight languages, whatever the corpus and however many languages.
 
 Edge cases: null text, or one without a letter, is `und` with score 0; a text with
-letters but no known n-gram gets the first language with score 0; rows without a
+letters but no known n-gram gets the first language with score 0, one too short for
+an n-gram of 5 is judged by those of 3 and 4; rows without a
 label teach nothing; without any label all texts are `und`; very long texts are read
 whole; of languages with equal counts the first by name is given; repeated rows each
 get a row; null ids are neither held out nor learned from; columns of the input that
@@ -33,6 +34,8 @@ from textloom.llm import common
 from textloom.llm.fingerprint import mix
 
 SIZES = (5, 6)
+#: Of texts that are too short for those.
+SHORT = (3, 4)
 PROBES = 2
 #: Slots of a filter that move together.
 CHUNK = 1 << 15
@@ -50,7 +53,7 @@ def letters() -> np.ndarray:
     return out
 
 
-def grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def grams_of(texts: list[str], sizes: tuple[int, ...] = SIZES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, text) of each n-gram with a letter, in runs of non-letters as one space; and whether each text has a letter."""
     table = letters()
     codes = np.frombuffer("".join(f" {t} " for t in texts).encode("utf-32-le"), np.uint32)
@@ -62,9 +65,9 @@ def grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     low, doc, blank = low[keep].astype(np.uint64), doc[keep], blank[keep]
     hashes, owners = [], []
     h = low
-    for n in range(2, max(SIZES) + 1):
+    for n in range(2, max(sizes) + 1):
         h = h[:-1] * np.uint64(0x100000001B3) + low[n - 1 :] + np.uint64(n)
-        if n in SIZES and len(h):
+        if n in sizes and len(h):
             ok = (doc[n - 1 :] == doc[: len(h)]) & ~(blank[: len(h)] & blank[1 : len(h) + 1])
             hashes.append(mix(h[ok]))
             owners.append(doc[: len(h)][ok])
@@ -97,16 +100,23 @@ class Filters:
     def places(h: np.ndarray, slots: int) -> list[np.ndarray]:
         return [((h >> np.uint64(32 * p)) & np.uint64(slots - 1)).astype(np.int64) for p in range(PROBES)]
 
-    def judge(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, score and coverage of each text. Score: the winner's corrected count over its sum with the runner-up's. Coverage: over all n-grams."""
+    def _counts(self, texts: list[str], sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text: its n-grams, those of them in each language's filter, and whether it has a letter."""
         n = len(texts)
-        h, doc, has = grams_of(texts)
+        h, doc, has = grams_of(texts, sizes)
         first, *others = self.places(h, self.slots.shape[1])
         mask = self.slots[:, first]
         for at in others:
             mask &= self.slots[:, at]
-        total = np.bincount(doc, minlength=n)
-        counts = np.stack([np.bincount(doc[self.holds(mask, i)], minlength=n) for i in range(len(self.languages))])
+        return np.bincount(doc, minlength=n), np.stack([np.bincount(doc[self.holds(mask, i)], minlength=n) for i in range(len(self.languages))]), has
+
+    def judge(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score and coverage of each text. Score: the winner's corrected count over its sum with the runner-up's. Coverage: over all n-grams."""
+        n = len(texts)
+        total, counts, has = self._counts(texts, SIZES)
+        short = np.flatnonzero((total == 0) & has)
+        if len(short):
+            total[short], counts[:, short], _ = self._counts([texts[i] for i in short.tolist()], SHORT)
         fixed = np.maximum(0.0, (counts - self.false[:, None] * total) / (1 - np.minimum(self.false, 0.99))[:, None])
         best = fixed.argmax(axis=0)
         top = fixed[best, np.arange(n)]
@@ -138,7 +148,7 @@ def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Filters.empty(languages, slots)
         for b in common.slices(batches):
-            h, doc, _ = grams_of(b.column("text").to_pylist())
+            h, doc, _ = grams_of(b.column("text").to_pylist(), (*SHORT, *SIZES))
             lang = np.array([number[x] for x in b.column("lang").to_pylist()], np.int32)[doc]
             for i in np.unique(lang).tolist():
                 Filters.add(table, h[lang == i], i)
