@@ -97,6 +97,16 @@ def test_fingerprint_pairs(spark, awkward, empty):
     assert prints == {fingerprint.write(fingerprint.sketches([""])[0])}
 
 
+def test_fingerprint_ties(spark):
+    """Ids that many rows share, also where one range of ids ends and the next begins: rows follow one another by text."""
+    rng = random.Random(8)
+    rows = [(rng.choice((1, 2, 2, 2, 3, 9, None)), "".join(rng.choice("abcd ") for _ in range(rng.randint(0, 60)))) for _ in range(60)]
+    got = fingerprint.compare_edited(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    want = [(i, len(a), hashlib.sha256((a[: len(a) - len(a) // 4] + b[: len(a) // 4]).encode()).hexdigest()) for (i, a), (_, b) in zip(order, order[1:] + order[:1])]
+    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in got), key=str) == sorted(want, key=str)
+
+
 def slow_sketch(text):
     """Every window's hash by plain whole-number arithmetic, those under a sixteenth kept."""
     m, mask = 0x9E3779B97F4A7C15, (1 << 64) - 1
