@@ -36,6 +36,17 @@ def test_warc(spark, sf, awkward, empty):
     one = index.where("page_id = 7")
     record = bytes(warc.fetch(index, one).first().record)
     assert record.startswith(b"WARC/1.1\r\n") and b"X-Page-ID: 7\r\n" in record and len(record) == one.first().length
+    # every record by its frame and place there, against the archives read in sequence
+    by_id = defaultdict(list)
+    for r in got:
+        by_id[r.record_id].append(r)
+    fetched = warc.fetch(index, index).collect()
+    assert len(fetched) == len(got) and {r.record_id for r in fetched} == set(by_id)
+    for r in fetched:
+        (headers, size, payload), *more = warc.parse_records(bytes(r.record))
+        same = by_id[r.record_id][0]
+        assert not more and headers["WARC-Record-ID"] == f"<{r.record_id}>" and size == same.payload_bytes and headers["WARC-Type"] == same.record_type
+        assert headers["WARC-Payload-Digest"] == f"sha1:{same.payload_digest}" and (same.record_type == "revisit" or payload == bytes(same.payload))
     small = warc.write_archives(pages, min_revisit_bytes=5)
     assert {r.page_id for r in warc.read_archives(small).collect() if r.record_type == "revisit"} == {4}
     assert warc.read_archives(warc.write_archives(empty.selectExpr("doc_id AS page_id", "source AS url", "text AS html"))).count() == 0

@@ -184,7 +184,7 @@ RECORDS = "page_id long, record_id string, payload_bytes long, payload_digest st
 
 
 def read_archives(index: DataFrame, *, payloads: bool = True) -> DataFrame:
-    """All records of the bundles that the index names; payload is null for revisits, and for all if not payloads. Each response's digest is checked."""
+    """All records of the bundles that the index names; payload is null for revisits, and for all if not payloads. Each response's digest is checked; a revisit has no payload to check its by."""
     parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
