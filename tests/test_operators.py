@@ -11,7 +11,7 @@ from textloom import cli
 from textloom.functions import columns, spans
 from textloom.functions.rulers import BIGRAM, CHARACTER, WORD
 from textloom.functions.rulers import index_terms as python_terms
-from textloom.operators import chunkers, evaluate, index, refine, scoring, validate, visualize
+from textloom.operators import chunkers, evaluate, index, refine, resident, scoring, validate, visualize
 from textloom.operators.embed import RemoteEmbedder, cosine, embed, hash_texts, hashing_vector, mean_vector, slot_column
 from textloom.operators.embed import slot as python_slot
 from textloom.sources import extract, readers
@@ -248,11 +248,20 @@ def test_stored_search_equals_plain(spark, tmp_path):
     store = index.ParquetIndex(spark, f"file://{tmp_path}/index")
     store.index(made.where("source = 's0'").drop("chunk_index"), source=F.col("source"), mode="append")
     store.index(made.where("source = 's1'").drop("chunk_index"), source=F.col("source"), mode="append")
+    loaded = resident.ResidentIndex(store)
+    with pytest.raises(ValueError):
+        resident.ResidentIndex(store, max_bytes=100)
+    with pytest.raises(ValueError):
+        loaded.search("x", vector=[1.0])
+    assert resident.ResidentIndex(index.ParquetIndex(spark, f"file://{tmp_path}/none")).search("x", mode="hybrid") == []
     show = lambda df: [(r.rank, r.text, r.start, r.source, round(r.score, 9)) for r in df.orderBy("rank").collect()]
     for mode in scoring.MODES:
         for options in ({}, {"source": "s1"}, {"source": "s1", "stats_scope": "corpus"}, {"k": 60}, {"k": 3}):
             for q in ("dog cat 猫睡", "w7", "absent"):
-                assert show(store.search(q, mode=mode, **{"k": 8, **options})) == show(index.search(made, q, mode=mode, **{"k": 8, **options})), (mode, options, q)
+                want = show(index.search(made, q, mode=mode, **{"k": 8, **options}))
+                assert show(store.search(q, mode=mode, **{"k": 8, **options})) == want, (mode, options, q)
+                got = [(r["rank"], r["text"], r["start"], r["source"], round(r["score"], 9)) for r in loaded.search(q, mode=mode, **{"k": 8, **options})]
+                assert [x[4] for x in got] == [x[4] for x in want] and sorted(x[1:] for x in got if x[4] > got[-1][4]) == sorted(x[1:] for x in want if x[4] > got[-1][4])
     queries = ["dog cat 猫睡", "w7", "absent"]
     for mode in scoring.MODES:
         ranked = evaluate.rank_cases(made, queries, k=4, mode=mode).collect()

@@ -12,6 +12,7 @@ from pyspark.sql import SparkSession
 
 from textloom.operators.chunkers import make_kernel
 from textloom.operators.index import ParquetIndex
+from textloom.operators.resident import ResidentIndex
 
 BODY_LIMIT = 10 << 20
 CHUNK_FIELDS = {"text": str, "chunker": str, "tokenizer": str, "size": int, "overlap": int, "rules": list, "lang": str}
@@ -30,6 +31,8 @@ class Service:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.index, self.lock = spark, ParquetIndex(spark, path), threading.Lock()
+        self.resident: ResidentIndex | None = None
+        self.too_large = -1  # the version that did not fit
 
     def handle(self, method: str, path: str, raw: bytes) -> tuple[int, object]:
         if (method, path) == ("GET", "/health"):
@@ -66,12 +69,27 @@ class Service:
                 self.index.index(self.spark.createDataFrame(rows, "text string, start int, end int, token_count int, context string"), source=body.get("source", ""), replace=body.get("replace", False))
         return {"indexed": len(chunks), "chunks": chunks}
 
+    def _resident(self) -> ResidentIndex | None:
+        """The index in memory, as of its newest version; none if it is too large for that."""
+        with self.lock:
+            version = self.index.version()
+            if version == self.too_large:
+                return None
+            if self.resident is None or self.resident.version != version:
+                try:
+                    self.resident = ResidentIndex(self.index)
+                except ValueError:
+                    self.resident, self.too_large = None, version
+            return self.resident
+
     def search(self, body: dict) -> dict:
         if not body.get("query"):
             raise Refused(400, "query is missing")
-        hits = self.index.search(body["query"], k=body.get("k", 5), mode=body.get("scoring", "dense"), weight=body.get("hybrid_weight", 0.5), source=body.get("source"), stats_scope="corpus")
+        options = {"k": body.get("k", 5), "mode": body.get("scoring", "dense"), "weight": body.get("hybrid_weight", 0.5), "source": body.get("source"), "stats_scope": "corpus"}
+        resident = self._resident()
+        hits = resident.search(body["query"], **options) if resident else self.index.search(body["query"], **options).orderBy("rank").collect()
         out = []
-        for r in hits.orderBy("rank").collect():
+        for r in hits:
             chunk = {c: r[c] for c in ("text", "start", "end", "token_count")} | ({"context": r["context"]} if r["context"] else {})
             out.append({"record": {"chunk": chunk} | ({"source": r["source"]} if r["source"] else {}), "score": r["score"]})
         return {"hits": out}

@@ -174,6 +174,10 @@ class ParquetIndex:
 
     # what users call
 
+    def version(self) -> int:
+        """The number of the newest manifest; 0 for a missing index."""
+        return (self._numbers() or [0])[-1]
+
     def records(self) -> DataFrame:
         """All rows; a missing index is empty."""
         return self._union(self._segments(), "records", STORED).select(*COLUMNS)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import columns
 from textloom.functions.classes import SENTENCE_DELIMITERS
-from textloom.operators import chunkers, evaluate, index, refine, scoring, validate, visualize
+from textloom.operators import chunkers, evaluate, index, refine, resident, scoring, validate, visualize
 from textloom.operators.embed import cosine_to, hashing_counts, hashing_vector, mean_vector
 from textloom.plans import chunk_sql, surface
 from textloom.sources import readers
@@ -383,6 +383,13 @@ def stored_hybrid_topk(spark, sf_dir):
     return _hits(stored_index(spark, sf_dir).search(QUERY, k=10, mode="hybrid", weight=0.5))
 
 
+@query(_ranked(score="0.5 * dense + 0.5 * sparse", **_ALL))
+def resident_hybrid_topk(spark, sf_dir):
+    """The same index in memory, as the service holds it."""
+    hits = resident.ResidentIndex(stored_index(spark, sf_dir)).search(QUERY, k=10, mode="hybrid", weight=0.5)
+    return _hits(spark.createDataFrame([(h["rank"], h["text"], h["start"], h["source"], h["score"]) for h in hits], "rank int, text string, start int, source string, score double"))
+
+
 @query("SELECT label::BIGINT AS label, i AS at, round(avg(x), 5) AS mean FROM (SELECT label, unnest(range(0, len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY label, i")
 def mean_vectors(spark, sf_dir):
     means = mean_vector(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), ["label"], "embedding")
