@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 #: Text handled at once inside a kernel, in bytes; bounds a Python worker's memory whatever the batch size.
 SLICE_BYTES = 1 << 20
 #: Text in one Arrow batch between the JVM and a Python worker.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Bytes of a written table that a task holds before it writes them.
 ROW_GROUP = 16 << 20
 #: Rows handled at once inside a kernel, however short.

@@ -43,8 +43,8 @@ from pyspark.sql import functions as F
 from textloom.llm import common
 from textloom.llm.common import Workspace
 
-#: Words and parts of words whose ids a worker keeps; about 30 bytes each.
-STORE_WORDS = 2_000_000
+#: Words and parts of words whose ids a worker keeps; about 30 bytes each, and as much again while some are added.
+STORE_WORDS = 800_000
 #: Queues of the sources that are too small for one of their own.
 TAIL = 64
 #: Windows times queues of one lane's plan.
@@ -62,7 +62,7 @@ class IdStore:
     """The ids of words, known by their hashes, in flat arrays."""
 
     def __init__(self, kind: np.dtype):
-        self.low, self.high, self.begin, self.size, self.ids = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, kind)
+        self.low, self.high, self.begin, self.size, self.ids = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, kind)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The places of words, -1 for unknown ones."""
@@ -75,13 +75,13 @@ class IdStore:
         low = np.concatenate((self.low, hashes[:, 0]))
         order = np.argsort(low, kind="stable")
         self.low, self.high = low[order], np.concatenate((self.high, hashes[:, 1]))[order]
-        self.begin = np.concatenate((self.begin, len(self.ids) + np.cumsum(sizes) - sizes))[order]
-        self.size = np.concatenate((self.size, sizes))[order]
+        self.begin = np.concatenate((self.begin, (len(self.ids) + np.cumsum(sizes) - sizes).astype(np.int32)))[order]
+        self.size = np.concatenate((self.size, sizes.astype(np.int32)))[order]
         self.ids = np.concatenate((self.ids, ids))
 
     def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(the ids of the words at these places one after another, how many of each)."""
-        sizes = self.size[at]
+        sizes = self.size[at].astype(np.int64)
         ends = np.cumsum(sizes)
         return self.ids[np.repeat(self.begin[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
 
