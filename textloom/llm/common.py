@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import os
 import re
 import tempfile
@@ -113,6 +114,13 @@ def binaries(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system: a worker goes on to other kernels, and what each left behind would add up."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries don't have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], by: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of each batch in runs of about `limit` bytes of column `by`, at least one row each."""
     for batch in batches:
@@ -125,6 +133,7 @@ def slices(batches: Iterable[pa.RecordBatch], by: str = "text", limit: int = SLI
             to = min(at + SLICE_ROWS, max(at + 1, int(np.searchsorted(ends, base + limit, side="right"))))
             yield batch.slice(at, to - at)
             at = to
+    give_back()
 
 
 def lists(values: np.ndarray, counts: Iterable[int], kind: pa.DataType) -> pa.ListArray:
