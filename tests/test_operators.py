@@ -321,6 +321,13 @@ def test_html(page, want):
     assert extract.html_to_text(page) == want
 
 
+def test_html_references():
+    """A reference without its semicolon is a character as in HTML, or stays, by option."""
+    page = "<h1>a&amp;&amp</h1><p>x &lt y &#65 &#66; &bogus; &notit; &nbsp;&</p><script>'&amp'</script>"
+    assert extract.html_to_text(page) == "a&&\n\nx < y A B &bogus; ¬it; &"
+    assert extract.html_to_text(page, bare=False) == "a&&amp\n\nx &lt y &#65 B &bogus; &notit; &"
+
+
 def epub(files):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:

@@ -61,12 +61,12 @@ def extract(files: DataFrame) -> DataFrame:
     return files.select("path", "format", "content").mapInArrow(run, "path string, format string, text string")
 
 
-def html_text(df: DataFrame, html_col: str = "html", keep: Sequence[str] = ()) -> DataFrame:
-    """The columns `keep` and text, the visible text of a page; null as empty."""
+def html_text(df: DataFrame, html_col: str = "html", keep: Sequence[str] = (), bare: bool = True) -> DataFrame:
+    """The columns `keep` and text, the visible text of a page; null as empty. bare: see html_to_text()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [html_to_text(x or "") for x in b.column("__html").to_pylist()]
+            texts = [html_to_text(x or "", bare) for x in b.column("__html").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, "text"])
 
     schema = T.StructType([df.schema[c] for c in keep]).add("text", T.StringType())
