@@ -271,6 +271,31 @@ def test_stored_search_equals_plain(spark, tmp_path):
             assert [x[4] for x in got] == [x[4] for x in want]
 
 
+def test_stored_ties(spark, tmp_path, monkeypatch):
+    """More ties at the last place than a search takes to the driver: they still go by start, text and source."""
+    monkeypatch.setattr(index, "SPARE", 3)
+    docs = spark.createDataFrame([(i, f"s{i % 3}", f"dog {chr(97 + i)}") for i in range(20)], "doc_id long, source string, text string")
+    store = index.ParquetIndex(spark, f"file://{tmp_path}/index")
+    store.index(chunkers.chunk(docs, "token", size=30, keep=["source"]).drop("chunk_index"), source=F.col("source"), mode="append")
+    for mode in scoring.MODES:
+        assert [r.text for r in store.search("dog", k=4, mode=mode).orderBy("rank").collect()] == [r.text for r in index.search(store.records(), "dog", k=4, mode=mode).orderBy("rank").collect()]
+
+
+def test_stored_postings(spark, tmp_path):
+    """Postings and sizes as plain Python counts them; one row for each term of a record, sorted in each file."""
+    docs = frame(spark, [*TEXTS, "b a b", "a " * 50]).withColumn("source", F.concat(F.lit("s"), F.col("doc_id") % 2))
+    store = index.ParquetIndex(spark, f"file://{tmp_path}/index")
+    made = docs.select("text", F.lit(0).alias("start"), F.length("text").alias("end"), F.lit(1).alias("token_count"), F.lit("").alias("context"), F.array(F.lit(1.0).cast("float")).alias("vector"), "source")
+    store.upsert(made, mode="append")
+    segments = store._segments()
+    records = store._union(segments, "records", index.STORED).collect()
+    want = {(r.rid, r.source, len(set(ts)), t, ts.count(t)) for r in records for ts in [python_terms(r.text)] for t in ts}
+    got = [(r.rid, r.source, r.dl, r.term, r.tf) for r in store._union(segments, "postings", index.POSTINGS).collect()]
+    assert len(got) == len(want) and set(got) == want
+    sizes = {r.source: (r.n, r.dl) for r in store._union(segments, "sizes", index.SIZES).collect()}
+    assert sizes == {s: (sum(r.source == s for r in records), sum(len(set(python_terms(r.text))) for r in records if r.source == s)) for s in ("s0", "s1")}
+
+
 # A small retrieval set, three topics in two languages.
 DOCS = {
     "cats.md": "Cats are small carnivores kept as pets. A cat sleeps for most of the day. Kittens learn to hunt by play.",

@@ -1,8 +1,9 @@
 """Chunking of a DataFrame: a row for each chunk of each document.
 
-The character ruler's token windows are columns. The sequential chunkers run as one
-Arrow pass over the documents, which gives the exploded rows at once: kept columns
-are repeated by index, and no array of chunks ever crosses to the JVM.
+The chunkers run as one Arrow pass over the documents, which gives the exploded rows
+at once: kept columns are repeated by index, and no array of chunks ever crosses to
+the JVM. A window cut by a column expression would look for its start from the text's
+beginning, which takes the square of a document's length.
 """
 
 from __future__ import annotations
@@ -10,20 +11,18 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.functions import code, columns, spans
+from textloom.functions import code, spans
 from textloom.functions.rulers import Ruler, make_ruler
 from textloom.functions.rules import rules_from_json
+from textloom.functions.terms import sliced
 from textloom.schema import CHUNK_FIELDS
 
 CHUNKERS = ("token", "sentence", "recursive", "fast", "table", "code", "markdown", "semantic")
-SLICE_BYTES = 4 << 20
 
 
 def make_kernel(name: str = "recursive", *, tokenizer: str | Ruler = "character", size: int = 512, overlap: int = 0, rules: str | Sequence[spans.Level] = "", lang: str = "", delimiters: Sequence[str] = (), min_runes: int = 0, min_sim: float | None = None, window: int = 1, embed: Callable | None = None) -> spans.Kernel:
@@ -56,15 +55,6 @@ def make_kernel(name: str = "recursive", *, tokenizer: str | Ruler = "character"
     return spans.semantic_chunks(ruler, size, embed or hash_texts, min_sim, window, min_runes)
 
 
-def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), np.int64)
-    ends, at = np.cumsum(sizes), 0
-    while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, side="right")))
-        yield batch.slice(at, to - at)
-        at = to
-
-
 def chunk(df: DataFrame, name: str = "recursive", *, text_col: str = "text", keep: Sequence[str] | None = None, **options: Any) -> DataFrame:
     """The columns `keep` (all but the text, if not given), chunk_index, text, start, end, token_count, context. Null and empty texts have no chunks."""
     make_kernel(name, **options)  # wrong options are errors now
@@ -72,9 +62,6 @@ def chunk(df: DataFrame, name: str = "recursive", *, text_col: str = "text", kee
     clash = set(keep) & {f.name for f in CHUNK_FIELDS}
     if clash:
         raise ValueError(f"columns to keep clash with chunk columns: {sorted(clash)}")
-    if name == "token" and options.get("tokenizer", "character") in ("", "character"):
-        made = df.select(*keep, F.posexplode(columns.token_windows(F.col(text_col), options.get("size", 512), options.get("overlap", 0))).alias("chunk_index", "c"))
-        return made.select(*keep, "chunk_index", "c.text", "c.start", "c.end", "c.token_count", F.lit("").alias("context"))
     fields = [df.schema[c] for c in keep]
     made_kernel: dict[str, spans.Kernel] = {}
 
@@ -83,7 +70,7 @@ def chunk(df: DataFrame, name: str = "recursive", *, text_col: str = "text", kee
             made_kernel["k"] = make_kernel(name, **options)
         kernel = made_kernel["k"]
         for whole in batches:
-            for b in _slices(whole, "__text"):
+            for b in sliced(whole, "__text"):
                 rows: list[int] = []
                 out: list[tuple] = []
                 for i, text in enumerate(b.column("__text").to_pylist()):

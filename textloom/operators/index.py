@@ -26,7 +26,6 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.columns import index_terms
 from textloom.operators import scoring
 from textloom.operators.embed import cosine_to, embed, embed_text, make_embedder
 from textloom.schema import RECORD
@@ -35,7 +34,10 @@ KEY = ("text", "start", "end")
 COLUMNS = RECORD.fieldNames()
 #: Manifests whose segments stay; segments at which a write merges them; rows of ids that are broadcast at most.
 KEPT, MERGE_AT, SENT_ROWS = 2, 24, 1 << 20
+#: Scores that are equal to so many digits are ties; rows beyond k that a search takes to the driver to settle them.
+DIGITS, SPARE = 9, 1000
 STORED = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in RECORD.fields), "rid long, chunk_key binary"])
+POSTED = ("rid", "source", "dl", "term", "tf")
 POSTINGS, SIZES = "rid long, source string, dl int, term string, tf long", "source string, n long, dl long"
 
 
@@ -123,12 +125,10 @@ class ParquetIndex:
     def _index_terms(self, name: str) -> None:
         """The postings and sizes of a written segment."""
         records = self._stored({"name": name, "gone": []})
-        terms = records.select("rid", "source", index_terms(scoring.retrieval_text()).alias("terms"))
-        sized = terms.select("rid", "source", F.size(F.array_distinct("terms")).alias("dl"), "terms")
-        counted = sized.select("rid", "source", "dl", F.explode("terms").alias("term")).groupBy("rid", "source", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        counted.repartition(parts, "term").sortWithinPartitions("term").write.parquet(f"{self.path}/{name}/postings", compression="zstd")
-        sized.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").cast("long").alias("dl")).coalesce(1).write.parquet(f"{self.path}/{name}/sizes")
+        scoring.record_postings(records, "rid", ["source"]).select(*POSTED).write.parquet(f"{self.path}/{name}/postings", compression="zstd")
+        held = self.spark.read.schema(POSTINGS).parquet(f"{self.path}/{name}/postings")
+        both = records.select("source", F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("dl")).unionByName(held.select("source", F.lit(0).cast("long").alias("n"), F.lit(1).cast("long").alias("dl")))
+        both.groupBy("source").agg(F.sum("n").alias("n"), F.sum("dl").alias("dl")).coalesce(1).write.parquet(f"{self.path}/{name}/sizes")
 
     def _checked(self, name: str) -> int:
         """The number of records of a written segment; one with a vector that can't be is deleted."""
@@ -240,18 +240,27 @@ class ParquetIndex:
         _checked_search(k, mode, stats_scope)
         stored = self._union(self._segments(), "records", STORED)
         rows = stored if source is None else stored.where(F.col("source") == source)
+        ids = ["segment", "rid"]
         if mode == "dense":
-            return best(rows.withColumn("score", _dense(query, embedder, vector)), k)
+            return self._fetched(rows, rows.select(*ids, _dense(query, embedder, vector).alias("score")), k)
         sparse, most = self.sparse_scores(query, source=source, stats_scope=stats_scope)
         top = [r["s"] for r in sparse.select("s").orderBy(F.desc("s")).limit(k).collect()]
-        if mode == "bm25" and len(top) == k:
-            # nothing else can be among them: the last score and what equals it
-            sparse = sparse.where(F.col("s") >= top[-1] * (1 - 1e-12))
-            found = rows.join(_sized(sparse, most), ["segment", "rid"])
-        else:
-            found = rows.join(_sized(sparse, most), ["segment", "rid"], "left")
         share = F.coalesce(F.col("s"), F.lit(0.0)) / F.lit(top[0] if top else 1.0)
-        return best(found.withColumn("score", share if mode == "bm25" else scoring.blend(_dense(query, embedder, vector), share, weight)), k)
+        if mode == "bm25" and len(top) == k:
+            return self._fetched(rows, sparse.select(*ids, share.alias("score")), k)  # nothing else can be among them
+        own = rows.select(*ids) if mode == "bm25" else rows.select(*ids, _dense(query, embedder, vector).alias("dense"))
+        score = share if mode == "bm25" else scoring.blend(F.col("dense"), share, weight)
+        return self._fetched(rows, own.join(_sized(sparse, most), ids, "left").select(*ids, score.alias("score")), k)
+
+    def _fetched(self, rows: DataFrame, scored: DataFrame, k: int) -> DataFrame:
+        """The k best rows by their scores (segment, rid, score); no text is read or moved but theirs."""
+        first = scored.orderBy(F.desc("score")).limit(k + SPARE).collect()
+        if len(first) < k + SPARE or first[-1]["score"] < first[k - 1]["score"] - 10**-DIGITS:
+            found = F.broadcast(self.spark.createDataFrame([tuple(r) for r in first], scored.schema))
+        else:  # more ties than that
+            tied = scored.where(F.col("score") >= first[k - 1]["score"] - 10**-DIGITS)
+            found = _sized(tied, tied.count())
+        return best(rows.join(found, ["segment", "rid"]), k)
 
 
 def newest(segments: list[dict]) -> int:
@@ -295,8 +304,9 @@ def _dense(query: str, embedder: str | Callable, vector: Sequence[float] | None)
 
 def best(scored: DataFrame, k: int) -> DataFrame:
     """The k rows of the highest score with their rank; ties go by start, text and source."""
-    top = scored.select(*COLUMNS, "score").orderBy(F.desc("score"), "start", "text", "source").limit(k)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "start", "text", "source")))  # k rows
+    order = [F.desc(F.round("score", DIGITS)), "start", "text", "source"]
+    top = scored.select(*COLUMNS, "score").orderBy(*order).limit(k)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # k rows
 
 
 def search(records: DataFrame, query: str, *, k: int = 5, mode: str = "dense", weight: float = 0.5, source: str | None = None, stats_scope: str = "filtered", embedder: str | Callable = "hashing", vector: Sequence[float] | None = None) -> DataFrame:
@@ -313,9 +323,9 @@ def search(records: DataFrame, query: str, *, k: int = 5, mode: str = "dense", w
     terms = scoring.distinct_terms(query)
 
     def measured(frame: DataFrame) -> DataFrame:
-        own = F.col("__terms")  # a column of its own, so that the texts are cut once
-        counts = [scoring.occurrences(own, q).alias(f"__tf{i}") for i, q in enumerate(terms)]
-        return frame.withColumn("__terms", index_terms(scoring.retrieval_text())).select(*frame.columns, F.size(F.array_distinct(own)).alias("__dl"), *counts)
+        own = F.col("__found")
+        counts = [own[i + 1].alias(f"__tf{i}") for i in range(len(terms))]
+        return frame.withColumn("__found", scoring.term_counts(scoring.retrieval_text(), terms)).select(*frame.columns, own[0].alias("__dl"), *counts)
 
     rows = measured(kept)
     base = rows if stats_scope == "filtered" else measured(records)
