@@ -307,6 +307,21 @@ def test_stored_postings(spark, tmp_path):
     assert sizes == {s: (sum(r.source == s for r in records), sum(len(set(python_terms(r.text))) for r in records if r.source == s)) for s in ("s0", "s1")}
 
 
+def test_windows_take_no_search(spark):
+    """Token windows come from the kernel: none is looked for from its text's beginning."""
+    plan = chunkers.chunk(frame(spark), "token", size=3)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "substring" not in plan.lower()
+
+
+def test_layout_moves_a_text_once(spark):
+    """A document goes to its layout once, not once for each of its chunks."""
+    docs = spark.createDataFrame([(1, "abcdefgh" * 40), (2, ""), (3, None)], "doc_id long, text string")
+    rows = visualize.layout(chunkers.chunk(docs, "token", size=10, overlap=4), docs)
+    assert "Window" not in rows._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.start, r.end, r.text) for r in rows.collect())
+    assert "".join(t for _, _, t in got) == "abcdefgh" * 40 and all(r[2] == ("abcdefgh" * 40)[r[0] : r[1]] for r in got)
+
+
 # A small retrieval set, three topics in two languages.
 DOCS = {
     "cats.md": "Cats are small carnivores kept as pets. A cat sleeps for most of the day. Kittens learn to hunt by play.",

@@ -3,33 +3,53 @@
 from __future__ import annotations
 
 import html
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from textloom.functions.terms import sliced
 
 SLOTS = 12
+SEGMENT = T.StructType([T.StructField(n, t) for n, t in (("start", T.IntegerType()), ("end", T.IntegerType()), ("text", T.StringType()), ("is_chunk", T.BooleanType()), ("chunk_index", T.IntegerType()), ("slot", T.IntegerType()), ("tokens", T.IntegerType()), ("context", T.StringType()), ("overlap", T.BooleanType()), ("mismatch", T.BooleanType()), ("covered", T.BooleanType()))])
 
 
 def layout(chunks: DataFrame, docs: DataFrame, *, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, start, end, text, is_chunk, chunk_index, slot, tokens, context, overlap, mismatch, covered): chunks and the gaps between them, in order of start; of an overlapping chunk what lies beyond those before."""
-    w = Window.partitionBy(key).orderBy("start", "chunk_index")
-    cursor = F.coalesce(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = docs.select(key, F.coalesce(F.col(text_col), F.lit("")).alias("__doc")).join(chunks, key, "left").withColumn("__at", cursor).withColumn("__n", F.length("__doc"))
-    piece = F.struct(
-        F.greatest("start", "__at").alias("start"), F.greatest("end", "__at").alias("end"), F.lit(True).alias("is_chunk"), F.col("chunk_index").alias("chunk_index"), (F.col("chunk_index") % SLOTS).cast("int").alias("slot"), F.col("token_count").alias("tokens"), F.col("context").alias("context"),
-        (F.col("start") < F.col("__at")).alias("overlap"), (F.substring("__doc", F.col("start") + 1, F.col("end") - F.col("start")) != F.col("text")).alias("mismatch"), (F.col("end") <= F.col("__at")).alias("covered"),
-    )
-
-    def gap(a, b):
-        return F.struct(a.alias("start"), b.alias("end"), F.lit(False).alias("is_chunk"), F.lit(None).cast("int").alias("chunk_index"), F.lit(None).cast("int").alias("slot"), F.lit(None).cast("int").alias("tokens"), F.lit("").alias("context"), F.lit(False).alias("overlap"), F.lit(False).alias("mismatch"), F.lit(False).alias("covered"))
-
-    last = F.lead("start").over(w).isNull()
-    own = F.when(F.col("start").isNull(), F.when(F.col("__n") > 0, F.array(gap(F.lit(0), F.col("__n"))))).otherwise(
-        F.filter(F.array(gap(F.col("__at"), F.col("start")), piece, F.when(last, gap(F.greatest("end", "__at"), F.col("__n")))), lambda s: s.isNotNull() & (s["is_chunk"] | (s["end"] > s["start"])))
-    )
-    out = rows.withColumn("__s", own).select(key, "__doc", F.explode("__s").alias("s"))
-    return out.select(key, "s.start", "s.end", F.substring("__doc", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("text"), "s.is_chunk", "s.chunk_index", "s.slot", "s.tokens", "s.context", "s.overlap", "s.mismatch", "s.covered")
+    fields = ("start", "chunk_index", "end", "text", "token_count", "context")
+    own = chunks.groupBy(key).agg(F.collect_list(F.struct(*fields)).alias("__own"))  # of one document
+    rows = docs.select(key, F.coalesce(F.col(text_col), F.lit("")).alias("__doc")).join(own, key, "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in sliced(whole, "__doc"):
+                index: list[int] = []
+                out: list[tuple] = []
+                for i, (doc, found) in enumerate(zip(b.column("__doc").to_pylist(), b.column("__own").to_pylist(), strict=True)):
+                    made = _segments(doc, sorted(((c["start"], c["chunk_index"], c["end"], c["text"], c["token_count"], c["context"]) for c in found or ()), key=lambda c: c[:2]))
+                    index += [i] * len(made)
+                    out += made
+                columns = list(zip(*out, strict=True)) or [()] * len(SEGMENT)
+                yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(index, pa.int64())), *(pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, SEGMENT, strict=True))], names=[key, *SEGMENT.names])
+
+    return rows.mapInArrow(run, T.StructType([T.StructField(key, docs.schema[key].dataType), *SEGMENT.fields]))
+
+
+def _segments(doc: str, chunks: Sequence[tuple]) -> list[tuple]:
+    """The segments of one document; chunks (start, chunk_index, end, text, token_count, context) in order."""
+    out, at = [], 0
+    for start, k, end, text, tokens, context in chunks:
+        if start > at:
+            out.append((at, start, doc[at:start], False, None, None, None, "", False, False, False))
+        a, b = max(start, at), max(end, at)
+        out.append((a, b, doc[a:b], True, k, k % SLOTS, tokens, context, start < at, doc[start:end] != text, end <= at))
+        at = b
+    if len(doc) > at:
+        out.append((at, len(doc), doc[at:], False, None, None, None, "", False, False, False))
+    return out
 
 
 def render(segments: Sequence[dict], title: str = "chunks") -> str:
