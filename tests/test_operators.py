@@ -12,7 +12,7 @@ from textloom.functions import columns, spans
 from textloom.functions.rulers import BIGRAM, CHARACTER, WORD
 from textloom.functions.rulers import index_terms as python_terms
 from textloom.operators import chunkers, evaluate, index, refine, resident, scoring, validate, visualize
-from textloom.operators.embed import RemoteEmbedder, cosine, embed, hash_texts, hashing_vector, mean_vector, slot_column
+from textloom.operators.embed import RemoteEmbedder, cosine, embed, hash_texts, hashing_counts, hashing_vector, mean_vector, slot_column
 from textloom.operators.embed import slot as python_slot
 from textloom.sources import extract, readers
 
@@ -322,6 +322,18 @@ def test_layout_moves_a_text_once(spark):
     assert "".join(t for _, _, t in got) == "abcdefgh" * 40 and all(r[2] == ("abcdefgh" * 40)[r[0] : r[1]] for r in got)
 
 
+def test_hashing_counts(spark):
+    """Only sums are moved: no row for a term; an id's rows are summed."""
+    df = spark.createDataFrame([(1, "a b a"), (1, "a"), (2, None), (3, "猫睡 x")], "doc_id long, text string")
+    out = hashing_counts(df, "doc_id", F.col("text"))
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for d, text in ((1, "a b a a"), (3, "猫睡 x")):
+        for t in python_terms(text):
+            want[d, python_slot(t)] = want.get((d, python_slot(t)), 0) + 1
+    assert {(r.doc_id, r.slot): r.n for r in out.collect()} == want
+
+
 # A small retrieval set, three topics in two languages.
 DOCS = {
     "cats.md": "Cats are small carnivores kept as pets. A cat sleeps for most of the day. Kittens learn to hunt by play.",

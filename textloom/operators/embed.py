@@ -11,9 +11,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from textloom.functions.columns import index_terms
 from textloom.functions.rulers import index_terms as python_terms
+from textloom.functions.terms import sliced
 
 DIMENSIONS = 64
 FNV_OFFSET, FNV_PRIME = 2166136261, 16777619
@@ -46,14 +47,19 @@ class Slots(dict):
 _slots: dict[int, Slots] = {}
 
 
-def hash_texts(texts: Sequence[str], dimensions: int = DIMENSIONS) -> np.ndarray:
-    """Counts of hashed terms; for kernels that already run in Python."""
+def slot_counts(texts: Sequence[str], dimensions: int = DIMENSIONS) -> np.ndarray:
+    """Counts of hashed terms, a row for each text."""
     known = _slots.setdefault(dimensions, Slots(dimensions))
     terms = list(map(python_terms, texts))
     sizes = np.fromiter(map(len, terms), np.int64, len(terms))
     at = np.fromiter((known[t] for own in terms for t in own), np.int64, int(sizes.sum()))
     cells = np.repeat(np.arange(len(texts)) * dimensions, sizes) + at
-    return np.bincount(cells, minlength=len(texts) * dimensions).reshape(-1, dimensions).astype(np.float32)
+    return np.bincount(cells, minlength=len(texts) * dimensions).reshape(-1, dimensions)
+
+
+def hash_texts(texts: Sequence[str], dimensions: int = DIMENSIONS) -> np.ndarray:
+    """The same as vectors; for kernels that already run in Python."""
+    return slot_counts(texts, dimensions).astype(np.float32)
 
 
 def slot_column(term: Column, dimensions: int = DIMENSIONS) -> Column:
@@ -64,10 +70,18 @@ def slot_column(term: Column, dimensions: int = DIMENSIONS) -> Column:
 
 
 def hashing_counts(df: DataFrame, id_col: str, text: Column, dimensions: int = DIMENSIONS) -> DataFrame:
-    """(id, slot, n): the vectors' non-zero components. The hash is made once for each distinct term."""
-    terms = df.select(id_col, F.explode(index_terms(text)).alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("n"))
-    slots = terms.select("term").distinct().withColumn("slot", slot_column(F.col("term"), dimensions))
-    return terms.join(slots, "term").groupBy(id_col, "slot").agg(F.sum("n").alias("n"))
+    """(id, slot, n): the vectors' non-zero components. Terms are hashed and summed where they are found; only sums are moved."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in sliced(whole, "__text"):
+                counts = slot_counts([x or "" for x in b.column("__text").to_pylist()], dimensions)
+                row, at = np.nonzero(counts)
+                yield pa.RecordBatch.from_arrays([b.column(id_col).take(pa.array(row)), pa.array(at, pa.int32()), pa.array(counts[row, at], pa.int64())], names=[id_col, "slot", "n"])
+
+    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType, True), T.StructField("slot", T.IntegerType()), T.StructField("n", T.LongType())])
+    parts = df.select(id_col, text.alias("__text")).mapInArrow(run, schema)
+    return parts.groupBy(id_col, "slot").agg(F.sum("n").alias("n"))
 
 
 def hashing_vector(text: Column) -> Column:
@@ -146,7 +160,6 @@ def embed(df: DataFrame, text: Column, *, embedder: str | Callable = "hashing",
     if embedder in ("", "hashing"):
         return df.withColumn(to, hashing_vector(text))
     call = make_embedder(embedder) if isinstance(embedder, str) else embedder
-    from pyspark.sql import types as T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
