@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -11,10 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.columns import index_terms
-from textloom.functions.rulers import index_terms as python_terms
+from textloom.functions.terms import sliced
 from textloom.operators.embed import make_embedder
-from textloom.operators.scoring import B, K1, blend, check_mode, distinct_terms, retrieval_text
+from textloom.operators.scoring import Weights, blend, check_mode, distinct_terms, retrieval_text, term_totals
 
 
 def normalized(text: Column) -> Column:
@@ -62,29 +59,12 @@ def rank_cases(records: DataFrame, queries: Sequence[str], *, k: int = 3, mode:
     vectors = np.asarray(call(list(queries)), np.float64) if mode != "bm25" else np.zeros((len(queries), 0))
     asked = [distinct_terms(q) for q in queries]
     terms = sorted({t for own in asked for t in own})
-    n, average, df = 0, 1.0, {}
-    if mode != "dense":
-        own = records.select(F.array_distinct(index_terms(retrieval_text())).alias("terms"))
-        total = own.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("average")).first()
-        n, average = total["n"], total["average"] or 1.0
-        df = {r["term"]: r["count"] for r in own.select(F.explode("terms").alias("term")).where(F.col("term").isin(terms)).groupBy("term").count().collect()}
-    place = {t: i for i, t in enumerate(terms)}
-    idf = np.array([math.log(1 + (n - df.get(t, 0) + 0.5) / (df.get(t, 0) + 0.5)) for t in terms])
-    wants = np.zeros((len(terms), len(queries)))
-    for q, own_terms in enumerate(asked):
-        for t in own_terms:
-            wants[place[t], q] = idf[place[t]]
-    sent = spark.sparkContext.broadcast((vectors, place, wants, average))
+    text = retrieval_text()
+    totals = term_totals(records, text, terms) if mode != "dense" else (0, 1.0, {})
+    sent = spark.sparkContext.broadcast((vectors, Weights(asked, *totals)))
 
     def sparse(texts: list[str]) -> np.ndarray:
-        _, at, want, mean = sent.value
-        shares = np.zeros((len(texts), len(at)))
-        for i, text in enumerate(texts):
-            found = python_terms(text)
-            length = len(set(found))
-            for t, tf in Counter(t for t in found if t in at).items():
-                shares[i, at[t]] = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
-        return shares @ want
+        return sent.value[1].scores(texts)
 
     def dense(rows: list) -> np.ndarray:
         query = sent.value[0]
@@ -94,14 +74,13 @@ def rank_cases(records: DataFrame, queries: Sequence[str], *, k: int = 3, mode:
         norms = np.sqrt((m * m).sum(1)[:, None] * (query * query).sum(1)[None, :])
         return np.divide(m @ query.T, norms, out=np.zeros(norms.shape), where=norms > 0)
 
-    text = retrieval_text()
     largest = np.ones(len(queries))
     if mode == "hybrid":
 
         def most(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             top = np.zeros(len(queries))
-            for b in batches:
-                if b.num_rows:
+            for whole in batches:
+                for b in sliced(whole, "t"):
                     top = np.maximum(top, sparse(b.column("t").to_pylist()).max(axis=0))
             yield pa.RecordBatch.from_arrays([pa.array(range(len(queries)), pa.int32()), pa.array(top)], names=["case_id", "top"])
 
@@ -110,9 +89,7 @@ def rank_cases(records: DataFrame, queries: Sequence[str], *, k: int = 3, mode:
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[list[tuple]] = [[] for _ in queries]
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (own for whole in batches for own in sliced(whole, "t")):
             score = np.zeros((b.num_rows, len(queries)))
             if mode != "dense":
                 score = sparse(b.column("t").to_pylist()) / largest
