@@ -190,3 +190,38 @@ def test_tiling(name):
                     assert s.tokens <= size
                 at = s.end
             assert at == len(text)
+
+
+@pytest.mark.parametrize("ruler", [CHARACTER, WORD, BIGRAM])
+def test_counter(ruler):
+    """The count of any stretch is that of its text, and no stretch is split where none holds CJK."""
+    rng = random.Random(3)
+    for alphabet in ("ab \u2003\t\u2019", "ab 大模\u3000か", " \x85", "\U0001f600x "):
+        for _ in range(40):
+            text = "".join(rng.choices(alphabet, k=rng.randrange(30)))
+            count = ruler.counter(text)
+            for _ in range(20):
+                a, b = sorted(rng.choices(range(len(text) + 1), k=2))
+                assert count(a, b) == ruler.count(text[a:b]), (text, a, b)
+
+
+def test_pieces_are_counted_by_place(monkeypatch):
+    """A chunker of words cuts the text into words once, not once for each piece."""
+    kernel = make_kernel("recursive", tokenizer="word", size=8)
+    calls = []
+    monkeypatch.setattr(WORD, "count", lambda text: calls.append(text))
+    assert kernel("a b, c d e f. g h i j k, l m. " * 20)
+    assert not calls
+
+
+def test_byte_pair_cuts():
+    """Piece ends from the tokens' sizes are those of the pieces, inside characters too."""
+    import public_tokenizers as P
+
+    ruler = make_ruler(("tiktoken", P.path("byte_bpe_50k.tiktoken"), P.PATTERN))
+    for text in ("", "plain words, 12", "大模型 😀x😀 ça\u2019 \U0001f9d1\u200d\U0001f680", "\n\n  é"):
+        ends, at = [], 0
+        for piece in ruler.split(text):
+            at += len(piece)
+            ends.append(at)
+        assert list(ruler.cuts(text)) == ends
