@@ -347,6 +347,22 @@ def test_many_queries(spark, monkeypatch):
     assert total[0] == 30 and total[2] == {"dog": sum(1 for i in range(1, 30) if i % 4), "none": 0}
 
 
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_keyed_write_moves_no_text(spark, tmp_path, monkeypatch, most):
+    """Of a chunk that comes twice in one write the last stays; its text is not sorted or ranked for that."""
+    monkeypatch.setattr(index, "SENT_ROWS", most)
+    ranked = []
+    monkeypatch.setattr(index.F, "row_number", lambda: ranked.append(1) or F.lit(1))
+    rows = [("a", "s1", 3), ("b", "s1", 2), ("a", "s2", 5), ("a", "s3", 4), ("c", "s1", 1)]
+    made = spark.createDataFrame(rows, "text string, source string, ord int").select("text", F.lit(0).alias("start"), F.lit(1).alias("end"), F.lit(1).alias("token_count"), F.lit("").alias("context"), F.array(F.lit(1.0).cast("float")).alias("vector"), "source", "ord")
+    store = index.ParquetIndex(spark, f"file://{tmp_path}/index")
+    store.upsert(made)
+    assert sorted((r.text, r.source) for r in store.records().collect()) == [("a", "s2"), ("b", "s1"), ("c", "s1")]
+    store.upsert(made.where("text = 'b'").withColumn("source", F.lit("new")))
+    assert sorted((r.text, r.source) for r in store.records().collect()) == [("a", "s2"), ("b", "new"), ("c", "s1")]
+    assert not ranked
+
+
 # A small retrieval set, three topics in two languages.
 DOCS = {
     "cats.md": "Cats are small carnivores kept as pets. A cat sleeps for most of the day. Kittens learn to hunt by play.",

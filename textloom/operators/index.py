@@ -164,10 +164,13 @@ class ParquetIndex:
         keys = rows.select("chunk_key").distinct()
         old = self._union(segments, "records", STORED)
         met = {r[0] for r in old.select("segment", "chunk_key").join(_sized(keys, count), "chunk_key", "left_semi").select("segment").distinct().collect()}
-        if not met and keys.count() == count:
+        latest = F.max("rid").over(Window.partitionBy("chunk_key"))
+        earlier = rows.select("chunk_key", "rid").withColumn("__m", latest).where(F.col("rid") < F.col("__m")).select("rid")
+        again = earlier.count()  # rows whose chunk comes once more in the write
+        if not met and not again:
             return segments, new
         kept = self._union([s for i, s in enumerate(segments) if i in met], "records", STORED).join(_sized(keys, count), "chunk_key", "left_anti")
-        last = rows.withColumn("__r", F.row_number().over(Window.partitionBy("chunk_key").orderBy(F.desc("rid")))).where("__r = 1")
+        last = rows.join(_sized(earlier, again), "rid", "left_anti") if again else rows
         name = self._write(kept.select(*COLUMNS).unionByName(last.select(*COLUMNS)))
         self._fs.delete(self._jpath(f"{self.path}/{new['name']}"), True)
         return [s for i, s in enumerate(segments) if i not in met], {"name": name, "gone": [], "rows": count + sum(s["rows"] for i, s in enumerate(segments) if i in met)}
